@@ -34,6 +34,60 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _only(kind: str):
+    return lambda s: F.when(s["kind"] == kind, s["first"])
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stateloom.llm.pii import PATTERNS, find_pii, rendered
+
+    out = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    counts = [F.size(F.array_compact(F.transform("base", _only(kind)))).cast("bigint").alias(f"n_{kind}") for kind in PATTERNS]
+    return out.select("doc_id", *counts, F.sha2(rendered("base").cast("binary"), 256).alias("base_sha256"), rendered("spans").alias("spans"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stateloom.llm.quality_rules import quality_rules
+
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), trusted)
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stateloom.llm.jaccard_join import jaccard_classes
+
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stateloom.llm.quality_classifier import held_out, score_quality, train
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, machine).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stateloom.llm.lm_score import stupid_backoff
+
+    out = stupid_backoff(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0))
+    return out.select("doc_id", "n_words", F.round(mean, 4).alias("mean_log_score"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stateloom.llm.licenses import license_scan
+
+    out = license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.size("found").cast("bigint").alias("n_found"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"]))), ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["coverage"])), F.lit(0.0)).alias("coverage"),
+        F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["license"], x["first"], x["last"])), ",").alias("spans"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stateloom.llm.substring_dedup import substring_dedup
 
@@ -41,6 +95,28 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stateloom.llm.line_dedup import line_dedup
+
+    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), site="source")
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stateloom.llm.decontaminate import decontaminate
+
+    out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda acc, r: acc + (r["last"] - r["first"]))
+    return out.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
