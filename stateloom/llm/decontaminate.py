@@ -92,7 +92,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, broadcast
     agree = adjusted.groupBy("_key", "start", "window", "needed").agg(F.count("*").alias("n")).filter("n = needed").select("_key", "start", "window")
     found = agree.join(_sized(windows, many, broadcast_bytes), "window").groupBy("_key").agg(F.collect_list(F.struct("start", "terms", "items")).alias("_found"))
 
-    exact = F.filter("_found", lambda c: F.slice(F.col("_w"), c["start"] + 1, F.size(c["terms"])) == c["terms"])
+    # The words are an argument, not an outer column: Spark may inline columns into lambdas, once per element.
+    exact = F.array_compact(F.zip_with("_found", F.array_repeat("_w", F.size("_found")), lambda c, w: F.when(F.slice(w, c["start"] + 1, F.size(c["terms"])) == c["terms"], c)))
     ranges = F.array_sort(F.array_distinct(F.transform("_hit", lambda c: F.struct(c["start"].alias("first"), (c["start"] + F.size(c["terms"])).alias("last")))))
     joined = lambda acc, r: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= r["first"]),

@@ -121,7 +121,7 @@ def instances(based: DataFrame, key: list[str], text: str = "text") -> DataFrame
     # The word to the left: at most 64 characters are looked at.  All is done in the row, so texts are not copied per token.
     left = lambda s: F.lower(F.regexp_extract(F.substring(t, F.greatest(s["first"] - 63, F.lit(1)), F.least(s["first"], F.lit(64))), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
     told = F.transform("_tok", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["value"].alias("value"), left(s).alias("left")))
-    rows = rows.filter(F.size("_tok") > 0).select(*key, "_base", F.explode(told).alias("s"))
+    rows = rows.select(*key, "_base", F.explode(told).alias("s"))
     shape = F.regexp_replace(F.regexp_replace(F.col("s.value"), r"[0-9]+", "9"), r"\p{L}+", "a")
     inside = F.exists("_base", lambda b: (b["first"] < F.col("s.last")) & (b["last"] > F.col("s.first")))
     return rows.select(

@@ -62,36 +62,22 @@ def text_counts(docs: DataFrame, text: str = "text", keep_pairs: bool = False) -
     )
 
 
-def _repeated(grams: str) -> Column:
-    """Words covered by windows that occur twice or more: windows sorted by hash, equal neighbours, covered lengths."""
-    return F.aggregate(
-        F.transform(
-            F.sequence(F.lit(0), F.size("_twice") - 1),
-            lambda i: F.least(F.lit(WINDOW), F.coalesce(F.get("_twice", i + 1) - F.get("_twice", i), F.lit(WINDOW))),
-        ),
-        F.lit(0).cast("bigint"),
-        lambda acc, x: acc + x,
-    )
-
-
 def with_repeats(counted: DataFrame) -> DataFrame:
-    """Adds n_repeat_words; texts whose windows all differ are not sorted."""
-    same = lambda i, j: F.get("_order", i)["g"] == F.get("_order", j)["g"]
+    """Adds n_repeat_words: windows sorted by hash, positions of equal neighbours, covered lengths.
+
+    Texts whose windows all differ are not sorted.  Lambdas see their arguments
+    only, so nothing is computed per element even if Spark inlines the columns.
+    """
+    last = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
+    first = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    none = F.expr("cast(array() as array<int>)")
+    twins = lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])).otherwise(none)
+    order = F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+    covered = F.aggregate(F.zip_with(first("_twice"), last("_twice"), lambda a, b: F.least(b - a, F.lit(WINDOW))), F.lit(WINDOW), lambda acc, x: acc + x)
     return (
-        counted.withColumn("_order", F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
-        .withColumn(
-            "_twice",
-            F.array_sort(
-                F.filter(
-                    F.transform(
-                        F.sequence(F.lit(0), F.size("_order") - 1),
-                        lambda i: F.when(F.coalesce(same(i, i + 1), F.lit(False)) | F.coalesce(same(i, i - 1), F.lit(False)), F.get("_order", i)["i"]),
-                    ),
-                    lambda x: x.isNotNull(),
-                )
-            ),
-        )
-        .withColumn("n_repeat_words", F.when(F.col("_order").isNotNull(), _repeated("_twice")).otherwise(F.lit(0)).cast("bigint"))
+        counted.withColumn("_order", order)
+        .withColumn("_twice", F.array_sort(F.array_distinct(F.flatten(F.zip_with(first("_order"), last("_order"), twins)))))
+        .withColumn("n_repeat_words", F.when(F.col("_order").isNotNull(), covered).otherwise(F.lit(0)).cast("bigint"))
         .drop("_order", "_twice")
     )
 

@@ -41,8 +41,10 @@ def docs(spark, sf):
 
 
 @pytest.fixture(scope="module")
-def odd(spark):
-    return odd_docs(spark)
+def odd(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("odd") / "documents.parquet")
+    odd_docs(spark).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def both(docs, odd):
