@@ -20,7 +20,8 @@ form one class; classes are joined:
   can lie.
 * Members of a signature are compared with the signature's hub alone (a star, not
   all pairs), exactly.  What those links leave apart inside a signature is then
-  compared pairwise, classes already linked excepted.  Components are found by
+  compared in blocks by size and parity sketch, both of which only rule out what
+  cannot link; the few pairs left are compared exactly.  Components are found by
   alternating large-star and small-star steps on the verified links.
 
 Defined cases: fewer words than a shingle make one shingle of the whole text;
@@ -47,6 +48,8 @@ BAND_RATIO, SAMPLE = 1.3, 2000
 #: Weight of one colliding pair against one written signature, and sets remembered by a task.
 PAIR_COST, SEEN = 4.0, 1_000_000
 _ODD = 0x9E3779B97F4A7C15
+#: Bits of a set's parity sketch, and members of a signature compared in one block.
+SKETCH, TILE = 512, 512
 
 
 def shingle_sets(body: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +89,17 @@ def set_names(row: np.ndarray, el: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return ptr, mix(_totals(mix(el ^ np.uint64(0xA5A5A5A5)), ptr) + size), mix(_totals(mix(el + np.uint64(_ODD)), ptr) ^ size)
 
 
+def sketches(row: np.ndarray, el: np.ndarray, n: int) -> np.ndarray:
+    """SKETCH parity bits of each row's set as (n, SKETCH / 64) words.
+
+    Two sets differ in at least as many elements as their parities do, so the
+    parities rule out links without ever ruling out a true one.
+    """
+    bit = (mix(el) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(row * SKETCH + bit, minlength=n * SKETCH) & 1).astype(np.uint8).reshape(n, SKETCH)
+    return np.packbits(odd, axis=1).view(np.uint64)
+
+
 class Bands:
     """The size bands: their segments and, once planned, the allocations."""
 
@@ -192,15 +206,16 @@ def _name_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, off = text_buffers(_col(batch, "text"))
-            a, b, size = [], [], []
+            a, b, size, bits = [], [], [], []
             for i, j in slices(off):
                 row, el = shingle_sets(body[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 ptr, name, second = set_names(row, el, j - i)
                 a.append(name)
                 b.append(second)
                 size.append(np.diff(ptr))
+                bits += [x.tobytes() for x in sketches(row, el, j - i)]
             if a:
-                yield pa.RecordBatch.from_arrays([_col(batch, "doc_id"), signed(np.concatenate(a)), signed(np.concatenate(b)), pa.array(np.concatenate(size).astype(np.int64))], names=["doc_id", "name", "second", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([_col(batch, "doc_id"), signed(np.concatenate(a)), signed(np.concatenate(b)), pa.array(np.concatenate(size).astype(np.int64)), pa.array(bits, pa.binary())], names=["doc_id", "name", "second", "n_shingles", "bits"])
 
     return run
 
@@ -255,6 +270,49 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sig[member]), back(hub[member]), back(pri[member])], names=["sig", "hub", "member"])
 
 
+def _cross(num: int, den: int):
+    """Rows sorted by sig: pairs of members with different roots that sizes and parities do not rule out.  One signature is kept between batches."""
+
+    def compare(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        total, low = x["size"][i] + x["size"][j], np.minimum(x["size"][i], x["size"][j])
+        ok = (x["root"][i] != x["root"][j]) & (den * low >= num * (total - low))
+        i, j, total = i[ok], j[ok], total[ok]
+        apart = np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(1, dtype=np.int64)
+        ok = apart * (den + num) <= total * (den - num)
+        return np.column_stack([x["node"][i[ok]], x["node"][j[ok]]])
+
+    def pairs(x: dict) -> np.ndarray:
+        cuts = np.flatnonzero(np.diff(x["sig"], prepend=x["sig"][0] - 1, append=x["sig"][-1] + 1))
+        n, out = np.diff(cuts), []
+        two = cuts[:-1][n == 2]
+        out.append(compare(x, two, two + 1))
+        for a, z in zip(cuts[:-1][n > 2].tolist(), cuts[1:][n > 2].tolist(), strict=True):
+            for i in range(a, z, TILE):
+                for j in range(i, z, TILE):
+                    left, right = np.meshgrid(np.arange(i, min(i + TILE, z)), np.arange(j, min(j + TILE, z)), indexing="ij")
+                    keep = left < right
+                    out.append(compare(x, left[keep], right[keep]))
+        return np.unique(np.sort(np.concatenate(out), 1), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = {c: _long(batch, c) for c in ("sig", "node", "root", "size")}
+            x["bits"] = text_buffers(_col(batch, "bits"))[0].reshape(-1, SKETCH // 8).view(np.uint64)
+            if held is not None:
+                x = {c: np.concatenate([held[c], x[c]]) for c in x}
+            done = int(np.searchsorted(x["sig"], x["sig"][-1]))
+            held = {c: v[done:] for c, v in x.items()}
+            if done and len(p := pairs({c: v[:done] for c, v in x.items()})):
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+        if held is not None and len(p := pairs(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def _pack(k: int):
     """Compressed texts of the named sets; a row whose id repeats with another text is left out."""
 
@@ -366,8 +424,8 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     base = docs.select("doc_id", "text")
     bands = _planned(base, k, Bands(num, den), sample)
 
-    named = written(base.mapInArrow(_name_sets(k), "doc_id long, name long, second long, n_shingles long"), "sets")
-    classes = named.filter("n_shingles > 0").groupBy("name").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("rep"), F.first("n_shingles").alias("size"))
+    named = written(base.mapInArrow(_name_sets(k), "doc_id long, name long, second long, n_shingles long, bits binary"), "sets")
+    classes = named.filter("n_shingles > 0").groupBy("name").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("rep"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
 
     signed_rows = base.select("text").mapInArrow(_sign(k, bands), "sig long, priority long")
     stars = signed_rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "priority").mapInArrow(_stars, "sig long, hub long, member long")
@@ -393,9 +451,9 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     inside_sig = stars.select("sig", F.col("hub").alias("node")).unionByName(stars.select("sig", F.col("member").alias("node"))).distinct()
     labelled = inside_sig.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    left = written(labelled.join(mixed, "sig", "left_semi"), "apart")
-    pairs = left.alias("x").join(left.alias("y"), F.expr("x.sig = y.sig and x.root < y.root")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = written(verified(near(pairs.join(first, ["a", "b"], "left_anti"))), "links")
+    left = labelled.join(mixed, "sig", "left_semi").join(classes.select(F.col("name").alias("node"), "size", "bits"), "node")
+    pairs = left.repartition(partitions(spark), "sig").sortWithinPartitions("sig").select("sig", "node", "root", "size", "bits").mapInArrow(_cross(num, den), "a long, b long").distinct()
+    more = written(verified(pairs.join(first, ["a", "b"], "left_anti")), "links")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
