@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Production parameters: hashed buckets, and the least mean log-likelihood ratio per n-gram.
-BUCKETS, THRESHOLD = 1 << 16, -0.35
+#: Production parameters: hashed buckets, prior observations a bucket, and the least mean log-likelihood ratio per n-gram.
+BUCKETS, PRIOR, THRESHOLD = 1 << 16, 8.0, -0.2
 WINDOW = 8
 #: The largest set of trusted ids (8 bytes each) that is sent to every executor.
 BROADCAST_BYTES = 16 << 20
@@ -87,7 +87,7 @@ def _features(words: Column, pairs: Column) -> Column:
     return F.when(F.size(words) > 1, pairs).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
+def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
     """The weight of each bucket, from all documents; ``trusted`` holds the doc_id of the target sample."""
     ids = trusted.select("doc_id").filter("doc_id is not null").distinct()
     if ids.count() * 8 <= BROADCAST_BYTES:
@@ -100,13 +100,15 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
         raw[row.bucket], target[row.bucket] = row.raw, row.target
     if not sum(target):
         return [0.0] * buckets
-    norm = math.log((sum(raw) + 0.5 * buckets) / (sum(target) + 0.5 * buckets))
-    return [math.log((t + 0.5) / (r + 0.5)) + norm for t, r in zip(target, raw, strict=True)]
+    mass, total = prior * buckets, sum(target)
+    size = sum(raw) + 0.5 * buckets
+    share = [(r + 0.5) / size for r in raw]
+    return [math.log((t + mass * p) / ((total + mass) * p)) for t, p in zip(target, share, strict=True)]
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept of every row."""
-    weights = bucket_weights(docs, trusted, buckets)
+    weights = bucket_weights(docs, trusted, buckets, prior)
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in weights)), ",").cast("array<double>")  # folded to one constant
     counted = with_repeats(text_counts(docs.select("doc_id", "text"), keep_pairs=True))
     score = F.aggregate("_f", F.lit(0.0), lambda acc, h: acc + F.get(table, F.pmod(h, F.lit(buckets)).cast("int"))) / F.size("_f")

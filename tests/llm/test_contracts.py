@@ -108,7 +108,7 @@ def test_op3_verdict(spark):
     good = [(i, " ".join(rng.choice(["river", "stone", "hill", "cloud", "rain"]) for _ in range(40))) for i in range(60)]
     bad = [(i, " ".join(rng.choice(["win", "cash", "now", "click", "free"]) for _ in range(40))) for i in range(60, 120)]
     df = spark.createDataFrame(good + bad, "doc_id long, text string")
-    out = quality_rules(df, spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long"), threshold=0.0)
+    out = quality_rules(df, spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long"), threshold=0.0, prior=0.01)
     assert {r.doc_id for r in out.collect() if r.score >= 0} == set(range(60))
 
 
