@@ -228,8 +228,8 @@ def _removal(length: int):
                     n_gone.append(int(len(mask) - mask.sum()))
                     kept.append(b" ".join(words if n_gone[-1] == 0 else compress(words, mask.tolist())))
             yield pa.RecordBatch.from_arrays(
-                [_column(batch, "doc_id"), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept"],
+                [_column(batch, "_doc"), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=["_doc", "n_words", "n_removed", "kept"],
             )
 
     return run
@@ -239,11 +239,13 @@ def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept`` (the kept words joined by one space) of every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("_doc"), "text")
-    halves = base.select("_doc", "text").mapInArrow(_half_windows(length), "half long, _doc long")
+    # Both joins take the same two columns, so that one exchange of the texts serves both.
+    base = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("_doc"), "text")
+    halves = base.mapInArrow(_half_windows(length), "half long, _doc long")
     again = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     mine = halves.join(again, "half", "left_semi").groupBy("_doc").agg(F.collect_list("half").alias("halves"))
     full = base.join(mine, "_doc").select("_doc", "text", "halves").mapInArrow(_full_windows(length), "route long, known boolean, _doc long, first int, last int, tails binary")
     ranges = full.repartition(partitions(spark), "route").sortWithinPartitions("route", "_doc").mapInArrow(_compare, "_doc long, first int, last int")
     gone = ranges.groupBy("_doc").agg(F.collect_list(F.struct("first", "last")).alias("r")).select("_doc", F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts"))
-    return base.join(gone, "_doc", "left").select("doc_id", "text", "firsts", "lasts").mapInArrow(_removal(length), "doc_id long, n_words long, n_removed long, kept string")
+    out = base.join(gone, "_doc", "left").select("_doc", "text", "firsts", "lasts").mapInArrow(_removal(length), "_doc long, n_words long, n_removed long, kept string")
+    return out.select(F.when(F.col("_doc") != _LAST, F.col("_doc")).alias("doc_id"), "n_words", "n_removed", "kept")
