@@ -70,6 +70,16 @@ def erc20_storage(tokens: DataFrame, seed: int) -> DataFrame:
     return rows.unionByName(total)
 
 
+def erc20_allowances(tokens: DataFrame, seed: int) -> DataFrame:
+    """address, slot_key, slot_value of tokens (address, allowances): a nested mapping, owner then spender, in slot 1."""
+    rows = tokens.select("address", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("allowances").cast("bigint") - 1)).alias("i"))
+    draw = lambda tag: keccak256(F.concat(be8(F.lit(seed)), F.col("address"), F.lit(tag).cast("binary"), be8(F.col("i"))))
+    rows = rows.select("address", derived_address(draw("AOW")).alias("owner"), derived_address(draw("ASP")).alias("spender"), draw("AAM").alias("r"))
+    amount = F.pmod(F.conv(F.hex(F.substring("r", 25, 8)), 16, 10).cast("decimal(20,0)"), F.lit(10**18).cast("decimal(20,0)")).cast("bigint")
+    rows = rows.select("address", "spender", keccak256(F.concat(pad32(F.col("owner")), pad32(be8(F.lit(1))))).alias("inner"), pad32(be8(F.greatest(amount, F.lit(1)))).alias("slot_value"))
+    return rows.select("address", keccak256(F.concat(pad32(F.col("spender")), F.col("inner"))).alias("slot_key"), "slot_value")
+
+
 def create2_addresses(spark: SparkSession, factory: bytes, init_code: bytes, first: int, count: int) -> DataFrame:
     """salt, address of ``count`` salts: Keccak of ff, factory, salt and the code's hash."""
     code_hash = keccak(init_code)

@@ -72,6 +72,13 @@ def erc20(spark, e: Entity, seed: int) -> Expansion:
         own = own.unionByName(drawn.filter(F.col("slot_key") != F.unhex(F.lit(slot(2).hex()))))
     else:
         balances = own.filter(F.col("slot_key").isin([bytearray(k) for k, _ in explicit])) if explicit else own.limit(0)
+    given = [(keccak(hex_bytes(a["spender"], 20).rjust(32, b"\0") + keccak(hex_bytes(a["owner"], 20).rjust(32, b"\0") + slot(1))), quoted_u256(a["allowance"])) for a in p.get("allowances", [])]
+    if p.get("total_allowances") and len(given) > p["total_allowances"]:
+        raise SpecError("more allowances than total_allowances")
+    if given:
+        own = own.unionByName(spark.createDataFrame([(e.address, k, v) for k, v in given], STORAGE))
+    if (more := p.get("total_allowances", 0) - len(given)) > 0:
+        own = own.unionByName(g.erc20_allowances(spark.createDataFrame([(e.address, more)], "address binary, allowances bigint"), seed))
     from stateloom.functions.u256 import sum_u256
 
     supply = sum_u256(balances, ["address"], "slot_value", "slot_value").select("address", F.unhex(F.lit(slot(2).hex())).alias("slot_key"), "slot_value")

@@ -146,7 +146,7 @@ SPEC = """
 entities:
   - {kind: eoa, name: alice, balance: "1000"}
   - {kind: contract, code: "0x600160015500", approximate_size_bytes: 1400}
-  - {kind: contract, template: erc20, name: token, parameters: {name: Token, symbol: TK, total_owners: 20, owners: [{address: "0x00000000000000000000000000000000000000aa", balance: "5"}]}}
+  - {kind: contract, template: erc20, name: token, parameters: {name: Token, symbol: TK, total_owners: 20, total_allowances: 4, allowances: [{owner: "0x00000000000000000000000000000000000000aa", spender: "0x00000000000000000000000000000000000000ab", allowance: "9"}], owners: [{address: "0x00000000000000000000000000000000000000aa", balance: "5"}]}}
   - {kind: contract, template: storage_pattern, name: p, parameters: {final: 9}}
   - {kind: contract, template: sequential_eoas, name: q, parameters: {count: 7, balance: "3"}}
   - {kind: contract, template: sequential_pkey_eoas, parameters: {start_pkey: "1", count: 4}}
@@ -164,8 +164,8 @@ def test_specification_end_to_end(spark):
     out = templates.expand(spark, entities, 42)
     assert out["accounts"].count() == 1 + 1 + 1 + 1 + 7 + 4 + 1 + 3 + 4 + 3
     assert templates.collisions(out["accounts"]).count() == 0
-    # raw 10 slots, token 20 balances and 3 more, pattern 10, create2 3
-    assert out["storage"].count() == 10 + 23 + 10 + 3
+    # raw 10 slots, token 20 balances, 4 allowances and 3 more, pattern 10, create2 3
+    assert out["storage"].count() == 10 + 27 + 10 + 3
     again = templates.expand(spark, entities, 42)
     assert out["storage"].exceptAll(again["storage"]).count() == 0
     first = state.state_root(out["accounts"], out["storage"]).first()
