@@ -20,25 +20,28 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateloom.llm._text import inside, mix, ngram_hashes, partitions, row_of_words, small_batches, text_buffers, word_hashes
+from stateloom.llm._text import inside, mix, ngram_hashes, partitions, row_of_words, slices, small_batches, text_buffers, word_hashes
 
 #: Text handled together by one task, and text whose n-grams share one hash partition.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 ORDER, BACKOFF = 3, 0.4
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Byte planes of unsigned 64-bit integers: high bytes, mostly zero, compress away in the shuffle."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Byte planes of unsigned 64-bit integers, compressed: high bytes, mostly zero, vanish."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def _unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def _pack(sorted_hashes: np.ndarray) -> bytes:
@@ -49,10 +52,27 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(_unplanes(b), dtype=np.uint64)
 
 
+def _words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, word offsets by row) of packed texts, a few megabytes at a time."""
+    texts = pa.array([zstandard.decompress(z) for z in table.column("packed").to_pylist()], pa.binary())
+    body, off = text_buffers(texts)
+    parts, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for i, j in slices(off, 2 << 20):
+        w, woff = word_hashes(body[off[i] : off[j]], off[i : j + 1] - off[i])
+        parts.append(w)
+        counts.append(np.diff(woff))
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [zstandard.compress((t or "").encode(), 1) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["doc_id", "packed", "block"])
+
+
 def _grams(table: pa.Table, order: int):
     """(word offsets, valid starts by order, hashes by order) of a block."""
-    body, off = text_buffers(table.column("text"))
-    w, woff = word_hashes(body, off)
+    w, woff = _words(table)
     starts, hashes = [], []
     for k in range(1, order + 1):
         ok = np.flatnonzero(inside(woff, k, len(w)))
@@ -138,7 +158,7 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(partitions(spark), -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
-    named = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    named = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).mapInArrow(_pack_texts, "doc_id long, packed binary, block long")
     asked = named.groupBy("block").applyInArrow(_requests(order, buckets), "bucket long, block long, grams binary, counts binary")
     answered = asked.groupBy("bucket").applyInArrow(_answers, "bucket long, block long, answer binary")
     return named.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_scores(order, backoff), "doc_id long, n_words long, log_score double")
