@@ -366,7 +366,7 @@ def fork_order(t):
 @query("ring_slot", "select event_id, epoch(date_trunc('second', ts))::bigint % 8191 as slot from events")
 def ring_slot(t):
     """V5: ring-buffer slot of a timestamp."""
-    return t.events.select("event_id", F.pmod(F.unix_timestamp(F.date_trunc("second", "ts")), F.lit(8191)).alias("slot"))
+    return t.events.select("event_id", F.expr("pmod(timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)), 8191)").alias("slot"))
 
 
 # --- joins -----------------------------------------------------------------------------

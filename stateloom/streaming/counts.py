@@ -13,5 +13,6 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def windowed_counts(events: DataFrame, window: str = "30 seconds", late: str = "1 minute") -> DataFrame:
     """start, event_type, n per tumbling window; works on streams and tables alike."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    marked = timed.withWatermark("ts", late) if events.isStreaming else timed
     return marked.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
