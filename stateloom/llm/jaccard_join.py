@@ -21,8 +21,9 @@ form one class; classes are joined:
 * Members of a signature are compared with the signature's hub alone (a star, not
   all pairs), exactly.  What those links leave apart inside a signature is then
   compared in blocks by size and parity sketch, both of which only rule out what
-  cannot link; the few pairs left are compared exactly.  Components are found by
-  alternating large-star and small-star steps on the verified links.
+  cannot link; the few pairs left are compared exactly.  Components of the verified
+  links are found in one task while these are few (counted), else by alternating
+  large-star and small-star steps.
 
 Defined cases: fewer words than a shingle make one shingle of the whole text;
 null and empty texts have an empty set and link with nothing, not even each
@@ -50,6 +51,8 @@ PAIR_COST, SEEN = 4.0, 1_000_000
 _ODD = 0x9E3779B97F4A7C15
 #: Bits of a set's parity sketch, and members of a signature compared in one block.
 SKETCH, TILE = 512, 512
+#: The most links (16 bytes each) that one executor task unites.
+ONE_TASK = 1_000_000
 
 
 def shingle_sets(body: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -348,9 +351,33 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root of every node of the undirected ``edges`` (a, b): alternating large-star and small-star steps, each written to the shared folder."""
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of all links of one task: union-find, roots are the least nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(_long(batch, "u").tolist(), _long(batch, "v").tolist(), strict=True):
+            lo, hi = sorted((find(u), find(v)))
+            root[hi] = lo
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+    """node, root of every node of the undirected ``edges`` (a, b).
+
+    At most ``one_task`` links (counted) are united in a single executor task; more
+    by alternating large-star and small-star steps, each written to the shared folder.
+    """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    if edges.count() <= one_task:
+        return written(edges.repartition(1).mapInArrow(_union, "node long, root long"), "roots")
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -162,12 +162,13 @@ def test_op4_allocation_is_least_cost():
         assert abs(cost(bands.plan[band]) - best) < 1e-9 and bands.plan[band].sum() >= need
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_random_graphs(spark, one_task):
     from stateloom.llm.jaccard_join import components
 
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(50)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(45)] + [(200, i) for i in range(201, 240)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     root = {}
     find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
     for a, b in edges:
