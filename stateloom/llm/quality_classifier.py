@@ -162,11 +162,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, buckets:
                 j = min(len(y), i + 64)
                 blocks.append(features(body[off[i] : off[j]], off[i : j + 1] - off[i], buckets))
                 ys.append(y[i:j])
-        if blocks:
-            machine.fit(blocks, ys)
+        if not blocks:
+            return
+        machine.fit(blocks, ys)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], names=["model"])
 
-    rows = sample.repartitionByRange(1, "h").sortWithinPartitions("h", "text").mapInArrow(run, "model binary").collect()
+    # One task by intent: the sample is bounded by max_rows.
+    rows = sample.repartition(1).sortWithinPartitions("h", "text").mapInArrow(run, "model binary").collect()
     return pickle.loads(rows[0].model) if rows else Machine(buckets, factors)
 
 
