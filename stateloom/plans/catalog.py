@@ -374,11 +374,15 @@ def ring_slot(t):
 
 @query("anti_join_redraw", "with g as (select distinct substr(sha256(c_custkey::varchar), 1, 3) as a from customer), d as (select o_orderkey, k, substr(sha256(o_orderkey::varchar || '-' || k::varchar), 1, 3) as a from orders, range(0, 8) t(k)) select o_orderkey, min(k) as attempt, arg_min(d.a, k) as address from d where not exists (select 1 from g where g.a = d.a) group by 1")
 def anti_join_redraw(t):
-    """Draws are repeated while they hit the taken set; eight counter draws, the first free one counts."""
-    taken = t.customer.select(F.substring(_hash("c_custkey"), 1, 3).alias("address")).distinct()
-    draws = t.orders.select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("attempt")).withColumn("address", F.substring(_hash("o_orderkey", "attempt"), 1, 3))
-    free = draws.join(taken, "address", "left_anti")
-    return free.groupBy("o_orderkey").agg(F.min(F.struct("attempt", "address")).alias("m")).select("o_orderkey", "m.attempt", "m.address")
+    """Draws are repeated while they hit the taken set, until every order has one: eight of three digits as the SQL has them, then 160-bit addresses."""
+    from stateloom.plans.generators import redraw
+
+    taken = t.customer.select(_hash("c_custkey").alias("h"))
+    orders = t.orders.select("o_orderkey").distinct()
+    draws = orders.select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("attempt")).withColumn("address", F.substring(_hash("o_orderkey", "attempt"), 1, 3))
+    free = draws.join(taken.select(F.substring("h", 1, 3).alias("address")).distinct(), "address", "left_anti")
+    first = free.groupBy("o_orderkey").agg(F.min(F.struct("attempt", "address")).alias("m")).select("o_orderkey", "m.attempt", "m.address")
+    return first.unionByName(redraw(orders.join(first, "o_orderkey", "left_anti"), "o_orderkey", taken.select(F.substring("h", 1, 40).alias("address")), 40, 8))
 
 
 @query("splice_roots", "select o_orderkey, coalesce(root, 'empty') as root from orders left join (select l_orderkey, sha256(string_agg(l_linenumber::varchar, ',' order by l_linenumber)) as root from lineitem where l_quantity > 45 group by 1) on l_orderkey = o_orderkey")

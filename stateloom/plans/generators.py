@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stateloom.functions.codecs import push
 from stateloom.functions.hashing import be8, derived_address, keccak, keccak256, keccak_many, pad32
+from stateloom.operators.session import ensure_checkpoints
 
 SLOT_BYTES, ACCOUNT_BYTES = 140, 175
 
@@ -32,6 +33,24 @@ def draw_accounts(index: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def redraw(rows: DataFrame, key: str, taken: DataFrame, digits: int = 40, attempt: int = 0) -> DataFrame:
+    """key, attempt, address (``digits`` hex digits) of every row: the first draw from ``attempt`` on that ``taken`` (address) lacks.
+
+    Each round joins the rows still colliding alone; it ends when none is left.
+    """
+    ensure_checkpoints(rows.sparkSession)
+    taken, out, left = taken.select("address").distinct(), None, rows.select(key)
+    if taken.filter(F.length("address") == digits).count() >= 16**digits:
+        raise ValueError(f"all addresses of {digits} digits are taken")
+    while out is None or not left.isEmpty():
+        h = F.sha2(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(attempt))), 256)
+        drawn = left.select(key, F.lit(attempt).cast("bigint").alias("attempt"), F.substring(h, 1, digits).alias("address")).checkpoint()
+        free = drawn.join(taken, "address", "left_anti").select(key, "attempt", "address")
+        out = free if out is None else out.unionByName(free)
+        left, attempt = drawn.join(taken, "address", "left_semi").select(key).checkpoint(), attempt + 1
+    return out
+
+
 def flavor_accounts(index: DataFrame, seed: int, funded: float = 0.90, delegated: float = 0.02, targets: int = 256) -> DataFrame:
     """i, funded, code: Bernoulli draws from one counter hash; delegation code names one of ``targets`` addresses."""
     rows = index.select("i", _counter("fla", seed).alias("h"))
