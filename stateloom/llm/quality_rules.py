@@ -3,8 +3,11 @@
 Only DataFrame functions.  Two multinomials over ``buckets`` hashed word bigrams
 (a text of one word: that word) are counted over all documents: one over the
 trusted documents, one over the raw corpus.  A document's score is the mean over
-its n-grams of log p_trusted(bucket) - log p_raw(bucket), both smoothed by one
-half per bucket; it is kept if the score reaches ``threshold``.  The weights have
+its n-grams of log p_trusted(bucket) - log p_raw(bucket); it is kept if the score
+reaches ``threshold``.  The raw counts are scaled to the trusted total and both
+sides take the same ``prior`` per bucket, so a bucket of few observations says
+little, and one that is common in the corpus and rare in the trusted documents
+counts against a text however small the tables are.  The weights have
 one entry per bucket whatever the input, so they travel as a constant array, and
 each document is scored in its own row: the only shuffle is the bucket count.
 
@@ -100,10 +103,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
         raw[row.bucket], target[row.bucket] = row.raw, row.target
     if not sum(target):
         return [0.0] * buckets
-    mass, total = prior * buckets, sum(target)
-    size = sum(raw) + 0.5 * buckets
-    share = [(r + 0.5) / size for r in raw]
-    return [math.log((t + mass * p) / ((total + mass) * p)) for t, p in zip(target, share, strict=True)]
+    scale = sum(target) / sum(raw)  # what a bucket would hold if trusted documents were like the others
+    return [math.log((t + prior) / (r * scale + prior)) for t, r in zip(target, raw, strict=True)]
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:

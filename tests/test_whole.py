@@ -27,3 +27,16 @@ def test_redraw_ends_with_the_last_collision(spark):
     assert sorted(r.id for r in rows) == list(range(20)) and {r.address for r in rows} <= set("89abcdef") and max(r.attempt for r in rows) > 0
     with pytest.raises(ValueError, match="taken"):
         redraw(spark.range(2), "id", spark.createDataFrame([(x,) for x in "0123456789abcdef"], "address string"), 1)
+
+
+def test_op3_rejects_on_small_tables_with_production_parameters(spark):
+    """Good documents outside the trusted sample stay, bad ones go."""
+    import random
+
+    from stateloom.llm.quality_rules import quality_rules
+
+    rng = random.Random(1)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(40))
+    rows = [(i, text(["river", "stone", "hill", "cloud", "rain"] if i < 60 else ["win", "cash", "now", "click", "free"])) for i in range(120)]
+    out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long"))
+    assert {r.doc_id for r in out.collect() if r.kept} == set(range(60))
