@@ -24,6 +24,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +48,50 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met"
     ),
+    "Apache-2.0-header": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
+        'law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES '
+        "OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License."
+    ),
+    "GPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This "
+        "program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have "
+        "received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "CC-BY-NC-4.0-notice": (
+        "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this "
+        "license, visit http://creativecommons.org/licenses/by-nc/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain "
+        "View, CA 94042, USA."
+    ),
+    "MIT-full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+        "and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+        'PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF "
+        "OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-3-Clause-full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this "
+        "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+        'CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+        "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON "
+        "ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY "
+        "WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
 }
 THRESHOLD, DENSITY = 0.8, 0.5
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
@@ -114,11 +160,15 @@ class Scanner:
         self.templates = [(name, words_of(text)) for name, text in templates.items()]
         self.keys = [(name, words, self._sufficient(words)) for name, words in self.templates if words]
 
+    def _needed(self, words: list[str]) -> int:
+        """The least number of matched words with enough coverage, without float error."""
+        return ceil(Fraction(str(self.threshold)) * len(words))
+
     def _sufficient(self, words: list[str]) -> list[str]:
         """Words of which a text with enough coverage has one at least."""
         count, keys, missing = Counter(words), [], 0
         for w in sorted(count, key=lambda w: (-len(w), w)):
-            if missing > (1 - self.threshold) * len(words):
+            if len(words) - missing < self._needed(words):
                 break
             keys.append(w)
             missing += count[w]
@@ -127,12 +177,15 @@ class Scanner:
     def _spans(self, words: list[str], template: list[str], keys: list[str]) -> list[tuple[float, int, int]]:
         """Disjoint (coverage, first, end) stretches, best first: each key word's surroundings are aligned, closely and widely."""
         n, wide, found = len(template), int(len(template) / self.density), set()
-        wanted = set(keys)
+        wanted, needed, counts = set(keys), self._needed(template), Counter(template)
+        if sum((Counter(words) & counts).values()) < needed:
+            return []
         for p in [p for p, w in enumerate(words) if w in wanted]:
             stretches = {(max(0, p - q), min(len(words), p - q + n)) for q, w in enumerate(template) if w == words[p]}
             for a, z in [*stretches, (max(0, p - wide), min(len(words), p + wide))]:
-                matched = align(words[a:z], template)
-                if matched and len(matched) >= self.threshold * n:
+                # No more words can match than both have.
+                matched = align(words[a:z], template) if sum((Counter(words[a:z]) & counts).values()) >= needed else []
+                if matched and len(matched) >= needed:
                     first, last = a + matched[0][0], a + matched[-1][0] + 1
                     if len(matched) >= self.density * (last - first):
                         found.add((-round(len(matched) / n, 6), first, last))

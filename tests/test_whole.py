@@ -40,3 +40,16 @@ def test_op3_rejects_on_small_tables_with_production_parameters(spark):
     rows = [(i, text(["river", "stone", "hill", "cloud", "rain"] if i < 60 else ["win", "cash", "now", "click", "free"])) for i in range(120)]
     out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long"))
     assert {r.doc_id for r in out.collect() if r.kept} == set(range(60))
+
+
+def test_op7_notices_at_the_threshold_and_full_texts(spark):
+    from stateloom.llm.licenses import TEMPLATES, Scanner, license_scan
+
+    gpl = TEMPLATES.get("GPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.")
+    rows = [(1, "Licensed under the MIT License"), (2, "file one. " + gpl + " import os"), (3, "under the license")]
+    got = {r.doc_id: [(x.license, x.coverage) for x in r.found] for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [("MIT", 0.8)] and ("GPL-3.0-header", 1.0) in got[2] and got[3] == []
+    for name, text in TEMPLATES.items():
+        assert any(x[0] == name and x[1] == 1.0 for x in Scanner(TEMPLATES, 0.8, 0.5).scan(f"a b {text} c d")), name
+    words = [f"w{i}" for i in range(35)]  # 0.8 * 35 is above 28 in floats
+    assert Scanner({"x": " ".join(words)}, 0.8, 0.5).scan(" ".join(words[:28]))
