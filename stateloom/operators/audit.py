@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def prefix_rows(keys: DataFrame, key: str, depth: int) -> DataFrame:
@@ -12,6 +13,28 @@ def prefix_rows(keys: DataFrame, key: str, depth: int) -> DataFrame:
     return spread.select(F.substring(F.col(key), F.lit(1), F.col("d")).alias("path"), F.pow(F.lit(2), F.conv(F.substring(F.col(key), F.col("d") + 1, F.lit(1)), 16, 10)).cast("int").alias("bit")).groupBy("path").agg(F.bit_or("bit").alias("mask"))
 
 
+def whole_trie(keys: DataFrame, key: str, digits: int = 64, block: int = 4) -> DataFrame:
+    """path, mask, leaf of a whole trie over distinct hex ``key``: the root and every prefix of two keys or more with the bits of its children, and each key's leaf (mask 0) one below its deepest inner row.
+
+    Neighbours are looked up inside blocks of ``block`` digits.  A prefix that leaves no
+    neighbour in the block is shorter than that, so each key gives all of those.
+    """
+    keys = keys.select(F.col(key).alias("_k")).distinct()
+    w = Window.partitionBy(F.substring("_k", 1, block)).orderBy("_k")
+    same = lambda a, b: F.coalesce(F.array_max(F.transform(F.sequence(F.lit(0), F.lit(digits)), lambda i: F.when(F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i), i))), F.lit(0))
+    near = keys.withColumn("_p", F.lag("_k").over(w)).withColumn("_q", F.lead("_k").over(w))
+    deep = near.select("_k", F.greatest(same(F.col("_k"), F.col("_p")), same(F.col("_k"), F.col("_q")), F.lit(block - 1)).alias("_deep"))
+    spread = deep.select("_k", F.explode(F.sequence(F.lit(0), F.least("_deep", F.lit(digits - 1)))).alias("d"))
+    bit = F.pow(F.lit(2), F.conv(F.substring(F.col("_k"), F.col("d") + 1, F.lit(1)), 16, 10)).cast("int")
+    rows = spread.groupBy(F.substring(F.col("_k"), F.lit(1), F.col("d")).alias("path")).agg(F.bit_or(bit).alias("mask"), F.count("*").alias("n"), F.min("_k").alias("_k"))
+    inner = rows.filter("n > 1 or path = ''").select("path", "mask", F.lit(False).alias("leaf"))
+    # A path of one key is a leaf if the path above has more keys: the shortest of the key, or one below its neighbours.
+    above = deep.select("_k", F.least(F.col("_deep") + 1, F.lit(digits)).alias("d")).select("_k", F.substring(F.col("_k"), F.lit(1), F.col("d")).alias("path"))
+    alone = rows.filter("n = 1 and path <> ''").select("_k", "path").unionByName(above)
+    leaves = alone.groupBy("_k").agg(F.min("path").alias("path")).select("path", F.lit(0).alias("mask"), F.lit(True).alias("leaf"))
+    return inner.unionByName(leaves)
+
+
 def dangling_and_orphans(rows: DataFrame, depth: int) -> DataFrame:
     """kind, path: child bits above ``depth`` without a row, and rows that no parent's bit names."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get(F.transform(F.array(F.col("mask")), lambda m: m.bitwiseAND(F.pow(F.lit(2), i).cast("int"))), F.lit(0)) != 0)

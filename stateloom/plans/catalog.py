@@ -462,6 +462,67 @@ def reachability(t):
     return audit.reachable(edges, t.spark.createDataFrame([("",)], "node string"))
 
 
+# The seven above stop at depth 3, as their SQL has it; these take the whole trie.
+
+_PREFIXES = f"select substr(h, 1, d) as path, h, bit_or(1 << cast('0x' || substr(h, d + 1, 1) as int)) over (partition by substr(h, 1, d)) as mask, count(*) over (partition by substr(h, 1, d)) as n, d from (select distinct h from ({_KEYS})), (select cast(d as int) as d from range(0, 64) t(d))"
+_WHOLE = f"select distinct path, mask from ({_PREFIXES}) where n > 1 or d = 0"
+_LEAVES = f"select substr(h, 1, 1 + max(d)) as path, 0 as mask from ({_PREFIXES}) where n > 1 or d = 0 group by h"
+
+
+def _whole(t, leaves: bool = False):
+    rows = audit.whole_trie(t.orders.select(_hash("o_orderkey").alias("h")), "h")
+    return (rows if leaves else rows.filter("not leaf")).drop("leaf")
+
+
+@query("child_masks_whole", f"select path, mask, bit_count(mask)::int as children from ({_WHOLE})")
+def child_masks_whole(t):
+    """AG6: child masks of all inner rows."""
+    return _whole(t).select("path", "mask", F.bit_count("mask").alias("children"))
+
+
+@query("depth_histogram_whole", f"select length(path)::int as depth, count(*) as n from ({_WHOLE}) group by 1")
+def depth_histogram_whole(t):
+    """AG7: all inner rows by depth."""
+    return _whole(t).groupBy(F.length("path").alias("depth")).agg(F.count("*").alias("n"))
+
+
+@query("strip_shallow_whole", f"select path, mask from ({_WHOLE}) where length(path) >= 2")
+def strip_shallow_whole(t):
+    """V3: all inner rows at least so deep."""
+    return _whole(t).filter(F.length("path") >= 2)
+
+
+@query("trie_audit_whole", f"with r as (select * from ({_WHOLE} union all {_LEAVES}) where substr(sha256(path), 1, 1) <> 'a' or path = ''), b as (select path || substr('0123456789abcdef', cast(i + 1 as int), 1) as path from r, range(0, 16) t(i) where (mask >> i::int) & 1 = 1) select 'dangling' as kind, path from b where path not in (select path from r) union all select 'orphan', path from r where path <> '' and path not in (select path from b)")
+def trie_audit_whole(t):
+    """Child bits without a row and rows without a parent at all depths, leaves included, after some rows were lost."""
+    kept = _whole(t, leaves=True).filter("substr(sha2(path, 256), 1, 1) <> 'a' or path = ''")
+    return audit.dangling_and_orphans(kept, 65)
+
+
+@query("prefix_probe_whole", f"select o_orderkey, path, mask from ({_WHOLE}) r join (select o_orderkey, unnest(list_transform(range(0, 65), lambda d: substr(sha256(o_orderkey::varchar), 1, d))) as p from orders) on p = path")
+def prefix_probe_whole(t):
+    """The ancestors of every key, by its 65 prefixes."""
+    keys = t.orders.select("o_orderkey", _hash("o_orderkey").alias("k"))
+    wanted = keys.select("o_orderkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(64)), lambda d: F.substring(F.col("k"), F.lit(1), d))).alias("path"))
+    return wanted.join(_whole(t), "path")
+
+
+@query("reachability_whole", f"with recursive r as (select * from ({_WHOLE} union all {_LEAVES})), e as (select substr(path, 1, length(path) - 1) as parent, path as child from r where path <> '' and substr(sha256(path), 1, 1) <> 'b'), w(node, level) as (select '', 0 union all select child, level + 1 from w join e on parent = node) select node, level::int as level from w")
+def reachability_whole(t):
+    """What is reached from the root down to the leaves along the edges that are left."""
+    from stateloom.operators.session import ensure_checkpoints
+
+    ensure_checkpoints(t.spark)
+    edges = _whole(t, leaves=True).filter("path <> '' and substr(sha2(path, 256), 1, 1) <> 'b'").select(F.expr("substr(path, 1, length(path) - 1)").alias("parent"), F.col("path").alias("child")).checkpoint()
+    return audit.reachable(edges, t.spark.createDataFrame([("",)], "node string"))
+
+
+@query("route_by_depth_whole", f"select path, case when length(path) <= 1 then 'top' when length(path) <= 2 then 'mid' else 'fallback' end as family from ({_WHOLE})")
+def route_by_depth_whole(t):
+    """SNK5: column family of all inner rows by path length."""
+    return _whole(t).select("path", F.expr("case when length(path) <= 1 then 'top' when length(path) <= 2 then 'mid' else 'fallback' end").alias("family"))
+
+
 @query("zip_generators", "select c_custkey as i, c_name, s_name from customer join supplier on s_suppkey = c_custkey")
 def zip_generators(t):
     """J11, GEN22: two generators aligned by index."""

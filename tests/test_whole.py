@@ -53,3 +53,15 @@ def test_op7_notices_at_the_threshold_and_full_texts(spark):
         assert any(x[0] == name and x[1] == 1.0 for x in Scanner(TEMPLATES, 0.8, 0.5).scan(f"a b {text} c d")), name
     words = [f"w{i}" for i in range(35)]  # 0.8 * 35 is above 28 in floats
     assert Scanner({"x": " ".join(words)}, 0.8, 0.5).scan(" ".join(words[:28]))
+
+
+def test_whole_trie_follows_long_common_prefixes(spark):
+    """Two keys that differ in the last digit, two that share four, one alone; repeated keys count once."""
+    from stateloom.operators.audit import dangling_and_orphans, whole_trie
+
+    keys = ["a" * 64, "a" * 63 + "b", "c" * 64, "c" * 4 + "d" * 60, "0" * 64, "0" * 64]
+    rows = whole_trie(spark.createDataFrame([(k,) for k in keys], "h string"), "h").collect()
+    inner, leaves = {r.path: r.mask for r in rows if not r.leaf}, {r.path for r in rows if r.leaf}
+    want = {"": 1 << 10 | 1 << 12 | 1} | {"a" * d: 1 << 10 for d in range(1, 63)} | {"a" * 63: 3 << 10} | {"c" * d: 1 << 12 for d in range(1, 4)} | {"c" * 4: 3 << 12}
+    assert inner == want and leaves == {"a" * 64, "a" * 63 + "b", "ccccc", "ccccd", "0"} and len(rows) == len(want) + 5
+    assert not dangling_and_orphans(spark.createDataFrame([(r.path, r.mask) for r in rows], "path string, mask int"), 65).collect()
