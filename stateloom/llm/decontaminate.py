@@ -14,6 +14,8 @@ with A-Z folded.  A window is ``length`` consecutive words of an item; a shorter
 item is one window.  The term table is broadcast only while its measured size is
 below ``broadcast_bytes``; beyond that Spark joins by shuffle.
 
+``proximity`` is the other half: near matches, from the postings of three rare terms.
+
 Defined cases: null and empty texts have no words and no windows; repeated items
 count once per item_id, equal windows of several items hit all of them; repeated
 document rows each get their own result; extra columns are ignored; an empty
@@ -112,3 +114,47 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, broadcast
             F.coalesce(F.when(F.size("_hit") > 0, F.array_sort(F.array_distinct(F.flatten(F.transform("_hit", lambda c: c["items"]))))), no_items).alias("items"),
         )
     )
+
+
+def proximity(docs: DataFrame, items: DataFrame, length: int = 10, slack: int = 3, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, near (sorted distinct half-open word ranges) and items (sorted item_ids) of every row of ``docs``.
+
+    A window is near at a stretch of its length and up to ``3 * slack`` words more
+    if the stretch has all its distinct terms, or all but one if there are five or more.
+    Of three rare terms two are left then, and their offset-adjusted positions differ by
+    ``slack`` at most while no more words are put in or taken out between them: such
+    postings are neighbours in a document's list, sorted by window and start.
+    """
+    base = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("doc_id", F.lit(-1))).alias("_key"))
+    windows = written(windows_of(items, length).groupBy("window", "terms").agg(F.collect_set("item_id").alias("items")).withColumn("window", F.xxhash64("window")), "windows")
+    terms = windows.select(F.explode("terms").alias("term")).distinct()
+    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    many = windows.agg(F.sum(40 * F.size("terms") + 40 * F.size("items"))).first()[0] or 0
+    counts = base.select(F.explode(words_of("text")).alias("term")).join(_sized(terms, size, broadcast_bytes), "term").groupBy("term").agg(F.count("*").alias("n"))
+    places = windows.select("window", F.posexplode("terms").alias("offset", "term"), F.size(F.array_distinct("terms")).alias("distinct"))
+    once = places.groupBy("window", "term", "distinct").agg(F.collect_list("offset").alias("offsets"))
+    ranked = once.join(counts, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "term"))).filter("rank <= 3")
+    bit = F.pow(F.lit(2), F.col("rank") - 1).cast("int")
+    anchors = written(ranked.select("window", "term", bit.alias("bit"), (F.col("distinct") == 1).alias("single"), F.explode("offsets").alias("offset")), "anchors")
+    sought = anchors.select("term").distinct()
+    index = written(base.select("_key", F.posexplode(words_of("text")).alias("position", "term")).join(_sized(sought, size, broadcast_bytes), "term").distinct(), "postings")
+
+    # Dealt by document before the join, so the longer lists behind it are not shuffled.
+    starts = index.repartition("_key").join(_sized(anchors, 2 * many, broadcast_bytes), "term").select("_key", F.struct("window", (F.col("position") - F.col("offset")).alias("start"), "bit", "single").alias("s"))
+    lists = starts.groupBy("_key").agg(F.array_sort(F.collect_list("s")).alias("a"))
+    pair = lambda x, y: F.when(x["single"], F.struct(x["window"].alias("window"), x["start"].alias("low"), x["start"].alias("high"))).when(
+        (x["window"] == y["window"]) & (x["bit"] != y["bit"]) & (y["start"] - x["start"] <= slack), F.struct(x["window"].alias("window"), x["start"].alias("low"), y["start"].alias("high"))
+    )
+    met = lists.select("_key", F.explode(F.array_distinct(F.array_compact(F.zip_with("a", F.slice("a", F.lit(2), F.size("a")), pair)))).alias("m"))
+    places = met.select("_key", "m.window", F.greatest(F.col("m.low") - slack, F.lit(0)).cast("int").alias("first"), (F.col("m.high") + slack).cast("int").alias("high"))
+    found = places.join(_sized(windows, many, broadcast_bytes), "window").groupBy("_key").agg(F.collect_list(F.struct("first", (F.col("high") + F.size("terms")).alias("last"), F.array_distinct("terms").alias("terms"), "items")).alias("_found"))
+    least = lambda c: F.size(c["terms"]) - F.when(F.size(c["terms"]) >= 5, 1).otherwise(0)
+    held = lambda c, w: F.size(F.array_intersect(F.slice(w, c["first"] + 1, c["last"] - c["first"]), c["terms"])) >= least(c)
+    near = F.array_compact(F.zip_with("_found", F.array_repeat("_w", F.size("_found")), lambda c, w: F.when(held(c, w), F.struct(c["first"].alias("first"), F.least(c["last"], F.size(w)).alias("last"), c["items"].alias("items")))))
+    none = F.expr("cast(array() as array<struct<first:int,last:int,items:array<string>>>)")
+    out = base.join(found, "_key", "left").withColumn("_w", words_of("text")).withColumn("_near", F.coalesce(F.when(F.col("_found").isNotNull(), near), none))
+    return out.select(
+        "doc_id",
+        F.array_sort(F.array_distinct(F.transform("_near", lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"))))).alias("near"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("_near", lambda c: c["items"])))).alias("items"),
+    )

@@ -65,3 +65,20 @@ def test_whole_trie_follows_long_common_prefixes(spark):
     want = {"": 1 << 10 | 1 << 12 | 1} | {"a" * d: 1 << 10 for d in range(1, 63)} | {"a" * 63: 3 << 10} | {"c" * d: 1 << 12 for d in range(1, 4)} | {"c" * 4: 3 << 12}
     assert inner == want and leaves == {"a" * 64, "a" * 63 + "b", "ccccc", "ccccd", "0"} and len(rows) == len(want) + 5
     assert not dangling_and_orphans(spark.createDataFrame([(r.path, r.mask) for r in rows], "path string, mask int"), 65).collect()
+
+
+def test_op10_proximity_finds_changed_passages(spark):
+    """A word replaced or put in every nine words leaves no exact window; an unrelated text is not near."""
+    from stateloom.llm.decontaminate import decontaminate, proximity
+
+    words = [f"q{i}" for i in range(40)]
+    replaced = ["zz" if i % 9 == 4 else w for i, w in enumerate(words)]
+    added = [x for i, w in enumerate(words) for x in ([w, "zz"] if i % 9 == 4 else [w])]
+    rows = [(1, replaced), (2, added), (3, words), (4, words[::5] * 4), (5, ["q1"]), (6, words[:8] + ["zz"] * 20 + words[8:16])]
+    docs = spark.createDataFrame([(i, "x y " + " ".join(w) + " z") for i, w in rows] + [(7, None), (3, "other")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "alpha beta"), (3, None)], "item_id long, text string")
+    exact = {(r.doc_id, len(r.hits)) for r in decontaminate(docs, items).collect()}
+    assert (1, 0) in exact and (2, 0) in exact and (3, 1) in exact
+    got = sorted((r.doc_id, bool(r.near), r["items"]) for r in proximity(docs, items).collect())
+    assert got == [(1, True, ["1"]), (2, True, ["1"]), (3, False, []), (3, True, ["1"]), (4, False, []), (5, False, []), (6, False, []), (7, False, [])]
+    assert proximity(docs, items.limit(0)).filter("size(near) > 0").count() == 0 and proximity(docs.limit(0), items).count() == 0
