@@ -32,10 +32,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of smallest id: five-word shingles, Jaccard 0.8."""
-    classes = jaccard_classes(docs, k=5, num=80, den=100)
-    lost = classes.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates stays, the one of smallest id (null last): five-word shingles, Jaccard 0.8.
+
+    Rows are known by id and text, so repeated and null ids are judged row by row;
+    of equal rows of one id the least stays.  Texts without words are no duplicates.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
+    classes = jaccard_classes(keyed.select(F.col("_key").alias("doc_id"), "text"), k=5, num=80, den=100)
+    rows = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    members = classes.filter("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id").distinct().join(rows, "_key")
+    members = written(members.select("_key", "component_id", "doc_id", "n"), "members")
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("s")).select("component_id", F.col("s._key").alias("_stay"))
+    judged = members.join(stays, "component_id")
+    left = keyed.join(judged.filter("_key <> _stay").select("_key"), "_key", "left_anti")
+    twice = judged.filter("_key = _stay and n > 1").select("_key")
+    if not twice.isEmpty():
+        one = left.join(twice, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("r"))
+        return left.join(twice, "_key", "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
+    return left.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

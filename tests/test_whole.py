@@ -82,3 +82,14 @@ def test_op10_proximity_finds_changed_passages(spark):
     got = sorted((r.doc_id, bool(r.near), r["items"]) for r in proximity(docs, items).collect())
     assert got == [(1, True, ["1"]), (2, True, ["1"]), (3, False, []), (3, True, ["1"]), (4, False, []), (5, False, []), (6, False, []), (7, False, [])]
     assert proximity(docs, items.limit(0)).filter("size(near) > 0").count() == 0 and proximity(docs.limit(0), items).count() == 0
+
+
+def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
+    """Equal rows, null ids, one id with two texts."""
+    from corpus_pipeline import near_duplicate_stage
+
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("a")), (None, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (7, text("c") + " x"), (7, text("d")), (9, None), (9, None), (None, "")]
+    out = near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(1, text("a")), (None, text("b")), (5, text("c")), (7, text("d")), (9, None), (9, None), (None, "")]
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
