@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stateloom.operators.session import ensure_checkpoints
+
 
 def prefix_rows(keys: DataFrame, key: str, depth: int) -> DataFrame:
     """path, mask of the inner rows of a trie over hex ``key``: every prefix up to ``depth`` with the bits of its children."""
@@ -56,6 +62,26 @@ def differences(got: DataFrame, want: DataFrame, key: list[str], value: str) ->
     return both.filter(~F.col("got").eqNullSafe(F.col("want")))
 
 
+def record_hashes(content: DataFrame, key: str, value: str) -> DataFrame:
+    """key, recorded: the SHA-256 of each ``value`` by hashlib, kept as a checkpoint: the record does not change with the content."""
+    ensure_checkpoints(content.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [None if x is None else hashlib.sha256(x.encode()).hexdigest() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string())], names=[key, "recorded"])
+
+    kind = content.schema[key].dataType.simpleString()
+    return content.select(key, F.col(value).cast("string")).mapInArrow(run, f"{key} {kind}, recorded string").checkpoint()
+
+
+def verify_content(content: DataFrame, recorded: DataFrame, key: str, value: str) -> DataFrame:
+    """key, verified of every row of ``content`` and of every record without content; what has no record is not verified, null content stays null."""
+    both = content.select(key, F.sha2(value, 256).alias("_h"), F.lit(True).alias("_c")).join(recorded.select(key, "recorded", F.lit(True).alias("_r")), key, "full_outer")
+    missing = F.col("_r").isNull() | F.col("_c").isNull()
+    return both.select(key, F.when(missing, F.lit(False)).otherwise(F.col("_h") == F.col("recorded")).alias("verified"))
+
+
 def reachable(edges: DataFrame, roots: DataFrame, levels: int = 65) -> DataFrame:
     """node, level of all nodes reached from ``roots`` (node) along ``edges`` (parent, child): one join a level, stops when a level is empty."""
     seen = frontier = roots.select("node").distinct().withColumn("level", F.lit(0))

@@ -591,8 +591,26 @@ def corpus_decode(t):
 @query("manifest_check", "select doc_id, sha256(text) = sha256(text || '') as verified from documents")
 def manifest_check(t):
     """SRC10, SNK11: content against its recorded hash."""
-    recorded = t.documents.select("doc_id", F.sha2("text", 256).alias("recorded"))
-    return t.documents.join(recorded, "doc_id").select("doc_id", (F.sha2("text", 256) == F.col("recorded")).alias("verified"))
+    recorded = audit.record_hashes(t.documents, "doc_id", "text")
+    return audit.verify_content(t.documents, recorded, "doc_id", "text")
+
+
+@query("set_equality_whole", "select (select count(*) from (select o_custkey from orders except all select c_custkey from customer)) as only_left, (select count(*) from (select c_custkey from customer except all select o_custkey from orders)) as only_right")
+def set_equality_whole(t):
+    """SET4, V7: all orders and all customers compared as multisets."""
+    a, b = t.orders.select(F.col("o_custkey").alias("k")), t.customer.select(F.col("c_custkey").alias("k"))
+    one = lambda df, n: df.agg(F.count("*").alias(n)).withColumn("j", F.lit(1))
+    return one(a.exceptAll(b), "only_left").join(one(b.exceptAll(a), "only_right"), "j").drop("j")
+
+
+@query("corpus_decode_whole", "with i as (select doc_id, unnest(range(0, length(text), 40)) as pos, length(text) as n from documents) select doc_id, pos, least(40, n - pos) as length, sha256(substr(text, pos + 1, least(40, n - pos))) as member from i join documents using (doc_id)")
+def corpus_decode_whole(t):
+    """SRC9: all members of the whole texts, cut out by a joined index of offsets and lengths."""
+    n = F.char_length("text").cast("bigint")
+    index = t.documents.filter(n > 0).select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(40).cast("bigint"))).alias("pos"))
+    index = index.select("doc_id", "pos", F.least(F.lit(40).cast("bigint"), F.col("n") - F.col("pos")).alias("length"))
+    cut = F.substring(F.col("text"), (F.col("pos") + 1).cast("int"), F.col("length").cast("int"))
+    return index.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "pos", "length", F.sha2(cut, 256).alias("member"))
 
 
 # --- scalar codecs ---------------------------------------------------------------------

@@ -93,3 +93,20 @@ def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
     out = near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     want = [(1, text("a")), (None, text("b")), (5, text("c")), (7, text("d")), (9, None), (9, None), (None, "")]
     assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
+
+
+def test_manifest_check_sees_changed_missing_and_added_content(spark):
+    from stateloom.operators.audit import record_hashes, verify_content
+
+    kept = spark.createDataFrame([(1, "a"), (2, "é"), (3, None), (4, "d")], "doc_id long, text string")
+    now = spark.createDataFrame([(1, "a"), (2, "e"), (3, None), (5, "new")], "doc_id long, text string")
+    got = {r.doc_id: r.verified for r in verify_content(now, record_hashes(kept, "doc_id", "text"), "doc_id", "text").collect()}
+    assert got == {1: True, 2: False, 3: None, 4: False, 5: False}
+
+
+def test_whole_comparison_and_decoding_leave_no_row_out(spark, folder):
+    spark.range(1, 6).selectExpr("id as o_orderkey", "id as o_custkey").write.parquet(f"{folder}/orders.parquet")
+    spark.range(2, 5).selectExpr("id as c_custkey").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(1, "é" * 85), (2, "")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    assert tuple(QUERIES["set_equality_whole"](spark, folder).select("only_left", "only_right").first()) == (2, 0)
+    assert sorted((r.doc_id, r.pos, r.length) for r in QUERIES["corpus_decode_whole"](spark, folder).collect()) == [(1, 0, 40), (1, 40, 40), (1, 80, 5)]
