@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once inside one Python worker (a single longer text is handled alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Text handed to a Python worker at once (a single longer text comes alone).
+BATCH_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -129,11 +131,12 @@ def signed(h: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(h).view(np.int64))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Long texts: hand few rows at a time to the Python workers, so that memory stays bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds the session's Arrow batches by bytes (a setting of the session: lowered only, and stated in the README), whatever the length of the texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > most or now <= 0:
+        spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -145,6 +148,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="llm-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")

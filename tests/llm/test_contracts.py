@@ -143,6 +143,55 @@ def test_op4_signatures_lose_no_link():
                 assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist()), (num, n, d)
 
 
+def test_op4_sketches_rule_out_no_link():
+    """The parity distance never exceeds the differences, also where one sketch is folded."""
+    import numpy as np
+
+    from stateloom.llm.jaccard_join import _apart, sketches
+
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n = int(rng.integers(1, 900))
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: rng.integers(0, len(x) + 1)], rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)]))
+        bits = sketches(np.array([0, len(x), len(x) + len(y)]), np.concatenate([x, y]), 80, 100)
+        ends = np.cumsum([len(b) // 8 for b in bits])
+        both = {"bits": np.frombuffer(b"".join(bits), np.uint64), "starts": np.array([0, ends[0]]), "ends": ends}
+        assert _apart(both, np.array([0]), np.array([1]))[0] <= len(np.setxor1d(x, y))
+
+
+def crowded_docs(spark, n=120):
+    """One passage that all share, so that signatures crowd, pairs of near copies, and chains of small changes."""
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(30))
+    texts = []
+    for _ in range(n // 4):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([10, 30, 60]))]
+        texts.append(f"{shared} {' '.join(own)}")
+        changed = list(own)
+        changed[rng.randrange(len(own))] = "x"
+        texts += [f"{shared} {' '.join(changed)}", f"{shared} {' '.join(rng.sample(own, len(own)))}", f"{shared} {' '.join(changed[:-1])}"]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def test_op4_crowded_signatures(spark):
+    from stateloom.llm.jaccard_join import jaccard_classes
+
+    df = crowded_docs(spark)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(df, k=5, num=80, den=100, crowd=25).collect()}
+    assert got == brute.classes(pairs(df), 5, 80, 100)
+
+
+def test_op4_repeated_and_null_ids(spark):
+    from stateloom.llm.jaccard_join import jaccard_classes
+
+    a, b = " ".join(f"t{i}" for i in range(60)), " ".join(f"u{i}" for i in range(40))
+    rows_ = [(5, a), (5, b), (5, a), (None, a + " z"), (None, b), (None, "q r s t"), (7, a), (9, None), (None, None)]
+    out = jaccard_classes(spark.createDataFrame(rows_, "doc_id long, text string"), k=3, num=90)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str)
+    assert got == sorted([(5, 58, 5), (5, 38, 5), (5, 58, 5), (None, 59, 5), (None, 38, 5), (None, 2, None), (7, 58, 5), (9, 0, 9), (None, 0, None)], key=str)
+
+
 def test_op4_allocation_is_least_cost():
     import itertools
 
