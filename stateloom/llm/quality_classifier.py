@@ -33,6 +33,8 @@ from stateloom.llm._text import slices, small_batches, text_buffers, word_hashes
 #: Production parameters.
 BUCKETS, FACTORS, MAX_ROWS, EPOCHS, RATE = 1 << 15, 8, 8000, 6, 0.08
 FOLDS, CUT = 5, 0.3
+#: Texts of one step of learning.
+BLOCK = 64
 
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 high, 7 mark, 8 symbol
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 6
@@ -155,13 +157,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, buckets:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, blocks, ys = Machine(buckets, factors), [], []
+
+        def learn(rows: pa.Table) -> None:
+            body, off = text_buffers(rows.column("text"))
+            blocks.append(features(body, off, buckets))
+            ys.append(rows.column("y").to_numpy())
+
+        held: list[pa.RecordBatch] = []  # fewer than 64 rows: blocks do not depend on how Arrow cuts its batches
         for batch in batches:
-            body, off = text_buffers(batch.column(1))
-            y = batch.column(2).to_numpy(zero_copy_only=False)
-            for i in range(0, len(y), 64):
-                j = min(len(y), i + 64)
-                blocks.append(features(body[off[i] : off[j]], off[i : j + 1] - off[i], buckets))
-                ys.append(y[i:j])
+            table = pa.Table.from_batches([*held, batch])
+            whole = table.num_rows - table.num_rows % BLOCK
+            for i in range(0, whole, BLOCK):
+                learn(table.slice(i, BLOCK))
+            held = table.slice(whole).combine_chunks().to_batches()
+        if held:
+            learn(pa.Table.from_batches(held))
         if not blocks:
             return
         machine.fit(blocks, ys)
@@ -173,20 +183,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, buckets:
 
 
 def score_quality(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if score >= ``cut``)."""
+    """``docs`` with score (0 to 1) and predicted (1 if score >= ``cut``).  Only texts go to the Python workers, only scores come back."""
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(machine)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = T.StructType([f for f in docs.schema.fields if f.name in names] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
         m = model.value
-        for batch in batches:
-            body, off = text_buffers(batch.column(batch.schema.names.index("text")))
-            parts = [m.score(*features(body[off[i] : off[j]], off[i : j + 1] - off[i], m.buckets)) for i, j in slices(off, 1 << 20)]
-            score = np.round(np.concatenate(parts), 9) if parts else np.zeros(0)
-            keep = [batch.column(batch.schema.names.index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(score), pa.array((score >= cut).astype(np.int32))], names=[*names, "score", "predicted"])
+        body, off = text_buffers(texts)
+        parts = [m.score(*features(body[off[i] : off[j]], off[i : j + 1] - off[i], m.buckets)) for i, j in slices(off)]
+        return pa.array(np.round(np.concatenate(parts), 9) if parts else np.zeros(0))
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*names, score(F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
