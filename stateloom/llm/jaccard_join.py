@@ -555,7 +555,7 @@ def _named(base: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     raise RuntimeError("no salt keeps the names apart")
 
 
-def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, sample: int = SAMPLE, crowd: int = CROWD) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, sample: int = SAMPLE, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -595,7 +595,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         labelled = inside_sig.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
         mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("sig", "n")
         left = written(labelled.join(mixed, "sig"), f"mixed-{level}")
-        last = level == LEVELS  # partitions so often drawn anew leave only what is alike
+        last = level == levels  # partitions so often drawn anew leave only what is alike
         some = left if last else left.filter(F.col("n") <= crowd)
         rows = some.join(classes.select(F.col("name").alias("node"), "size", "bits"), "node").select("sig", "node", "root", "size", "bits")
         found = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig").mapInArrow(_cross(num, den), "a long, b long").distinct()

@@ -178,7 +178,7 @@ def test_op4_crowded_signatures(spark):
     from stateloom.llm.jaccard_join import jaccard_classes
 
     df = crowded_docs(spark)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(df, k=5, num=80, den=100, crowd=25).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(df, k=5, num=80, den=100, crowd=25, levels=1).collect()}
     assert got == brute.classes(pairs(df), 5, 80, 100)
 
 
