@@ -1,19 +1,22 @@
 """Substring dedup by level-wise doubling.
 
-Level 1 looks at windows of half the length: of the half windows inside each
-full window the one with the smallest hash stands for it, so equal full windows
-have equal stand-ins and only about one half window in six is shuffled.  Those
-seen in two documents alone are extended to level 2, the full length, where the
-earliest document of every window is found.  Further doubling cannot change
-which words lie in a repeated full window, so no candidate survives level 2.
+The first level looks at windows of a quarter of the length: of the short windows
+inside each full window the one with the smallest hash stands for it, so equal
+full windows have equal stand-ins and only about one short window in eight is
+shuffled.  Those seen twice alone are extended to twice the length, and so on
+until no candidates survive or the full length is reached, where the earliest
+document of every window is found.  Further doubling cannot change which words
+lie in a repeated full window.
 
 A word goes if it lies in a window whose words also start earlier: in a
 document of smaller id, or in the same document.  Windows are compared by
-64-bit hashes of half and full windows (96 bits together).
+64-bit hashes of the last stand-in and the full window (96 bits together).
 
 Defined cases: null or empty text has no words; texts shorter than a window
-stay; a null id sorts after all others; rows with equal ids are not "earlier"
-than each other; an empty table gives an empty result; extra columns are ignored.
+stay; rows are known by id and text, so ids may repeat with different texts and
+be null; a null id sorts after all others; rows with equal ids (or without one)
+are not "earlier" than each other, and windows repeated inside a row go; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,19 +45,16 @@ def _sliding_min(h: np.ndarray, k: int) -> np.ndarray:
     return out if size == k else np.minimum(out[: len(h) - k + 1], out[k - size : k - size + len(h) - k + 1])
 
 
-def _levels(body: np.ndarray, off: np.ndarray, length: int):
-    """(row, start in row, stand-in half window, full window) of every window, in order."""
+def _levels(body: np.ndarray, off: np.ndarray, length: int, *sizes: int):
+    """(row, start in row, stand-ins by size, full window) of every window, in order."""
     w, woff = word_hashes(body, off)
     if len(w) < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    half = length // 2
-    small = ngram_hashes(w, half)
+        return (np.zeros(0, np.int64),) * 2 + ([np.zeros(0, np.uint64)] * len(sizes), np.zeros(0, np.uint64))
     full = ngram_hashes(w, length)
     ok = inside(woff, length, len(w))
-    stand = _sliding_min(small, length - half + 1)[: len(full)]
     row = row_of_words(woff)[: len(full)][ok]
     at = np.flatnonzero(ok) - woff[row]
-    return row, at, stand[ok], full[ok]
+    return row, at, [_sliding_min(ngram_hashes(w, size), length - size + 1)[: len(full)][ok] for size in sizes], full[ok]
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -76,13 +76,27 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _half_windows(length: int):
+def _survive(batch: pa.RecordBatch, i: int, j: int, row: np.ndarray, stand: np.ndarray) -> np.ndarray:
+    """Which windows of rows i to j have a stand-in that survived the level before."""
+    mine = _column(batch, "stands").slice(i, j - i)
+    flat = mine.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    whose = np.repeat(np.arange(j - i), mine.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.uint64)
+    return _in_sorted(mix(stand + row.astype(np.uint64)), np.sort(mix(flat + whose)))
+
+
+def _stand_ins(length: int, size: int, before: int | None):
+    """Distinct stand-ins of ``size`` of each row, of the windows that survived the level ``before``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, off = text_buffers(_column(batch, "text"))
-            ids = _ids(batch, "_doc")
+            ids, hashes = _ids(batch, "_doc"), _ids(batch, "_h")
             for i, j in slices(off):
-                row, _, stand, _ = _levels(body[off[i] : off[j]], off[i : j + 1] - off[i], length)
+                row, _, stands, _ = _levels(body[off[i] : off[j]], off[i : j + 1] - off[i], length, size, *([before] if before else []))
+                stand = stands[0]
+                if before and len(row):
+                    ok = _survive(batch, i, j, row, stands[1])
+                    row, stand = row[ok], stand[ok]
                 if len(row):
                     new = np.ones(len(row), bool)
                     new[1:] = (row[1:] != row[:-1]) | (stand[1:] != stand[:-1])
@@ -91,7 +105,7 @@ def _half_windows(length: int):
                     row, stand = row[order], stand[order]
                     new = np.ones(len(row), bool)
                     new[1:] = (row[1:] != row[:-1]) | (stand[1:] != stand[:-1])
-                    yield pa.RecordBatch.from_arrays([signed(stand[new]), pa.array(ids[i:j][row[new]])], names=["half", "_doc"])
+                    yield pa.RecordBatch.from_arrays([signed(stand[new]), pa.array(ids[i:j][row[new]]), pa.array(hashes[i:j][row[new]])], names=["stand", "_doc", "_h"])
 
     return run
 
@@ -103,10 +117,10 @@ def _in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
-def _full_windows(length: int):
+def _full_windows(length: int, size: int):
     """Candidates at full length.  route >= 0 rows carry windows to compare; the others, ranges already known to go."""
 
-    def emit(ids, row, at, stand, full, gone):
+    def emit(ids, hashes, row, at, stand, full, gone):
         starts = _runs(row, stand, gone.astype(np.int8), at)
         ends = np.append(starts[1:], len(row))
         first = row[starts]
@@ -118,24 +132,19 @@ def _full_windows(length: int):
         packed = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(tails[keep].tobytes())])
         route = np.where(local, mix(ids[first].astype(np.uint64) + at[starts].astype(np.uint64)), stand[starts])
         return pa.RecordBatch.from_arrays(
-            [signed(route), pa.array(local), pa.array(ids[first]), pa.array(at[starts].astype(np.int32)), pa.array((at[starts] + (ends - starts)).astype(np.int32)), packed],
-            names=["route", "known", "_doc", "first", "last", "tails"],
+            [signed(route), pa.array(local), pa.array(ids[first]), pa.array(hashes[first]), pa.array(at[starts].astype(np.int32)), pa.array((at[starts] + (ends - starts)).astype(np.int32)), packed],
+            names=["route", "known", "_doc", "_h", "first", "last", "tails"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, off = text_buffers(_column(batch, "text"))
-            ids = _ids(batch, "_doc")
-            halves = _column(batch, "halves")
-            flat = halves.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            hoff = np.concatenate([[0], np.cumsum(np.nan_to_num(np.array(halves.value_lengths().to_numpy(zero_copy_only=False), float)))]).astype(np.int64)
+            ids, hashes = _ids(batch, "_doc"), _ids(batch, "_h")
             for i, j in slices(off, LOCAL_BYTES):
-                row, at, stand, full = _levels(body[off[i] : off[j]], off[i : j + 1] - off[i], length)
+                row, at, (stand,), full = _levels(body[off[i] : off[j]], off[i : j + 1] - off[i], length, size)
                 if not len(row):
                     continue
-                mine = flat[hoff[i] : hoff[j]]
-                whose = np.repeat(np.arange(j - i), np.diff(hoff[i : j + 1])).astype(np.uint64)
-                ok = _in_sorted(mix(stand + row.astype(np.uint64)), np.sort(mix(mine + whose)))
+                ok = _survive(batch, i, j, row, stand)
                 row, at, stand, full = row[ok], at[ok], stand[ok], full[ok]
                 if not len(row):
                     continue
@@ -146,7 +155,7 @@ def _full_windows(length: int):
                 least = doc[order][new][np.cumsum(new) - 1]
                 gone = np.zeros(len(order), bool)
                 gone[order] = doc[order] > least
-                yield emit(ids[i:j], row, at, stand, full, gone)
+                yield emit(ids[i:j], hashes[i:j], row, at, stand, full, gone)
 
     return run
 
@@ -156,14 +165,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Between batches only the distinct windows of the route at hand are kept.
     """
-    names = ["_doc", "first", "last"]
+    names = ["_doc", "_h", "first", "last"]
     last_key, seen_tail, seen_doc = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
     for batch in batches:
         known = _column(batch, "known").to_numpy(zero_copy_only=False).astype(bool)
-        route, doc = _ids(batch, "route"), _ids(batch, "_doc")
+        route, doc, hashes = _ids(batch, "route"), _ids(batch, "_doc"), _ids(batch, "_h")
         first, last = _ids(batch, "first"), _ids(batch, "last")
         if known.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(first[known].astype(np.int32)), pa.array(last[known].astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(hashes[known]), pa.array(first[known].astype(np.int32)), pa.array(last[known].astype(np.int32))], names=names)
         if known.all():
             continue
         open_ = np.flatnonzero(~known)
@@ -188,10 +197,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tip = new & (k == key[-1])
         last_key, seen_tail, seen_doc = key[-1], t[tip], d[tip]
         if gone.any():
-            who, pos = doc[rec][gone], pos[gone]
-            starts = _runs(who, pos)
+            who, mark, pos = doc[rec][gone], hashes[rec][gone], pos[gone]
+            starts = _runs(who, mark, pos)
             ends = np.append(starts[1:], len(pos))
-            yield pa.RecordBatch.from_arrays([pa.array(who[starts]), pa.array(pos[starts].astype(np.int32)), pa.array((pos[starts] + ends - starts).astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(who[starts]), pa.array(mark[starts]), pa.array(pos[starts].astype(np.int32)), pa.array((pos[starts] + ends - starts).astype(np.int32))], names=names)
 
 
 def _removal(length: int):
@@ -239,13 +248,17 @@ def substring_dedup(docs: DataFrame, length: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept`` (the kept words joined by one space) of every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
-    # Both joins take the same two columns, so that one exchange of the texts serves both.
-    base = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("_doc"), "text")
-    halves = base.mapInArrow(_half_windows(length), "half long, _doc long")
-    again = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    mine = halves.join(again, "half", "left_semi").groupBy("_doc").agg(F.collect_list("half").alias("halves"))
-    full = base.join(mine, "_doc").select("_doc", "text", "halves").mapInArrow(_full_windows(length), "route long, known boolean, _doc long, first int, last int, tails binary")
-    ranges = full.repartition(partitions(spark), "route").sortWithinPartitions("route", "_doc").mapInArrow(_compare, "_doc long, first int, last int")
-    gone = ranges.groupBy("_doc").agg(F.collect_list(F.struct("first", "last")).alias("r")).select("_doc", F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts"))
-    out = base.join(gone, "_doc", "left").select("_doc", "text", "firsts", "lasts").mapInArrow(_removal(length), "_doc long, n_words long, n_removed long, kept string")
+    key = ["_doc", "_h"]
+    # All joins take the same three columns, so that one exchange of the texts serves them.
+    base = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("_doc"), F.xxhash64("text").alias("_h"), "text")
+    rows, before = base, None
+    for size in sorted({max(1, length // 4), max(1, length // 2)}):
+        stands = rows.mapInArrow(_stand_ins(length, size, before), "stand long, _doc long, _h long")
+        again = stands.groupBy("stand").agg(F.count("*").alias("n")).filter("n > 1").select("stand")
+        mine = stands.join(again, "stand", "left_semi").groupBy(*key).agg(F.collect_set("stand").alias("stands"))
+        rows, before = base.join(mine, key).select(*key, "text", "stands"), size
+    full = rows.mapInArrow(_full_windows(length, before), "route long, known boolean, _doc long, _h long, first int, last int, tails binary")
+    ranges = full.repartition(partitions(spark), "route").sortWithinPartitions("route", "_doc").mapInArrow(_compare, "_doc long, _h long, first int, last int")
+    gone = ranges.groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("r")).select(*key, F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts"))
+    out = base.join(gone, key, "left").select("_doc", "text", "firsts", "lasts").mapInArrow(_removal(length), "_doc long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("_doc") != _LAST, F.col("_doc")).alias("doc_id"), "n_words", "n_removed", "kept")

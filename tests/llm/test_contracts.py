@@ -291,6 +291,16 @@ def test_op8_repeated_and_null_ids(spark):
     assert sorted(((r.doc_id or -1), r.n_removed) for r in substring_dedup(df).collect()) == [(-1, 25), (5, 0), (5, 0), (9, 25)]
 
 
+def test_op8_ids_with_different_texts(spark):
+    from stateloom.llm.substring_dedup import substring_dedup
+
+    a = " ".join(f"t{i}" for i in range(700))
+    rows_ = [(1, a), (None, "z " + a), (None, "a b c"), (5, "q " + a), (5, "other words " + a[:200]), (5, None), (None, None)]
+    out = substring_dedup(spark.createDataFrame(rows_, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in out.collect()), key=str)
+    assert got == sorted([(1, 700, 0), (None, 701, 700), (None, 3, 0), (5, 701, 700), (5, 2 + len(a[:200].split()), len(a[:200].split()) - 1), (5, 0, 0), (None, 0, 0)], key=str)
+
+
 def test_op9_boilerplate(docs, odd):
     from stateloom.llm.line_dedup import line_dedup
 
