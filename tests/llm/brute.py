@@ -46,6 +46,27 @@ def pii(text):
     return [(k, s, e) for s, _, k, e in sorted(found)]
 
 
+def bootstrap(graph, seeds, accept, support, precision):
+    """{instance: score} of the accepted ones beyond the seeds; graph: {(instance, pattern)}."""
+    accepted, size = {i: 1.0 for i, _ in graph if i in seeds}, -1
+    while len(accepted) != size:
+        size = len(accepted)
+        sure = {}
+        for p in {p for _, p in graph}:
+            mine = [i for i, q in graph if q == p]
+            hits = sum(i in accepted for i in mine)
+            if hits >= support and hits / (len(mine) + 1) >= precision:
+                sure[p] = hits / (len(mine) + 1)
+        fresh = {}
+        for i, p in graph:
+            if i not in seeds and p in sure:
+                fresh[i] = 1 - (1 - fresh.get(i, 0.0)) * (1 - sure[p])
+        for i, x in fresh.items():
+            if x >= accept:
+                accepted[i] = max(x, accepted.get(i, 0.0))
+    return {i: x for i, x in accepted.items() if i not in seeds}
+
+
 def rule_counts(text):
     w = words(text)
     lines = [line for line in (text or "").split("\n") if SPACE.search(line)]

@@ -78,14 +78,40 @@ def test_op2_base_spans(docs, odd):
 
 
 def test_op2_discovers_by_context(spark):
-    from stateloom.llm.pii import find_pii, rendered
-
-    known = [(i, f"please call +1 (499) 555-{1000 + i} or badge u{i}@x.org today") for i in range(20)]
-    texts = known + [(100 + i, f"my badge u{i + 50}@hidden1 is new and number 77 is not") for i in range(3)]
-    # tokens after "badge" are e-mail addresses in 20 of 23 cases; those with another shape share no pattern
-    texts += [(200 + i, f"badge q{i}@w.com here") for i in range(9)] + [(300, "badge r7@z.org! badge")]
-    out = {r.doc_id: r.s for r in find_pii(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id", rendered("spans").alias("s")).collect()}
-    assert all("context" not in out[i] for i in range(20)) and "77" not in out[100]
+    """Seeds teach contexts; what stands there is found, with digits or without; other words, and contexts of little precision, are left alone."""
+    from stateloom.llm.pii import find_pii
+
+    rng = random.Random(2)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 14)))
+    texts = [(i, f'{word()} {word()} token = "{key()}" {word()}') for i in range(20)]
+    texts += [(100 + i, f"{word()} write to u{i}@x.org please") for i in range(12)]
+    texts += [(200, f'{word()} TOKEN = "not-hexadecimal-at-all" {word()}'), (201, "write to somebody.at.home please"), (202, f'{word()} token = "s3cret!"!! x')]
+    texts += [(300 + i, f"{word()} number {1000 + i} and {word()} extraordinarily {word()} the {key() if i == 0 else 'characteristically'}") for i in range(30)]
+    out = {r.doc_id: {s.value for s in r.spans if s.kind == "context"} for r in find_pii(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert out[200] == {"not-hexadecimal-at-all"} and out[201] == {"somebody.at.home"} and out[202] == {"s3cret"}
+    assert all(len(out[i]) == 1 for i in range(20)) and not any(out[i] for i in out if i >= 300 or 100 <= i < 112)
+
+
+def test_op2_graph_scores(spark):
+    from stateloom.llm.pii import bootstrap
+
+    rng = random.Random(9)
+    graph = {(f"i{rng.randrange(60)}", rng.randrange(12)) for _ in range(220)}
+    seeds = {f"i{i}" for i in range(0, 60, 2) if i % 7}
+    got = {r.instance: r.score for r in bootstrap(spark.createDataFrame([(i, p, i in seeds) for i, p in graph], "instance string, pattern long, seed boolean")).collect()}
+    want = brute.bootstrap(graph, seeds, 0.8, 3, 0.5)
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-6 for i in got)
+
+
+@pytest.mark.parametrize("run", ["7", "1.", "a", "x@y.z "])
+def test_op2_long_runs(spark, run):
+    """Two hundred thousand characters of one kind end within seconds, without recursion."""
+    from stateloom.llm.pii import find_pii
+
+    text = run * (100_000 // len(run))
+    found = find_pii(spark.createDataFrame([(1, text + " a@b.c " + text)], "doc_id long, text string")).select(F.filter("base", lambda s: s["kind"] == "email").alias("e")).first()
+    assert len(found.e) >= 1
 
 
 def test_op3_counts(spark, docs, odd):
