@@ -22,7 +22,8 @@ form one class; classes are joined:
 * Members of a signature are compared with the signature's hub (a star).  What the
   links leave apart inside a signature is compared by size and by foldable parity
   sketches, both of which only rule out what cannot link; the few pairs left are
-  compared exactly.  Signatures of more than ``crowd`` members are split: each
+  compared exactly, each member with one partner first, then with more where it is
+  still apart.  Signatures of more than ``crowd`` members are split: each
   member signs again by an independent partition of the universe, of which linked
   sets share a segment too, so no pairs of a hot signature are listed and no link
   is lost.  Components of the verified links are found in one task while these are
@@ -53,7 +54,9 @@ BAND_RATIO, SAMPLE = 1.3, 2000
 PAIR_COST, SEEN, SAMPLE_TEXT = 0.05, 100_000, 1 << 15
 _ODD = 0x9E3779B97F4A7C15
 #: The shortest parity sketch; pairs and bytes of sketches compared at once.
-LEAST_BITS, COMPARE_PAIRS, COMPARE_BYTES = 64, 1 << 19, 8 << 20
+LEAST_BITS, COMPARE_PAIRS, COMPARE_BYTES, LISTED_PAIRS = 64, 1 << 19, 8 << 20, 1 << 14
+#: Partners of a member that are compared in each step (None: all that are left).
+PARTNERS = (1, None)
 #: Members above which a signature is partitioned anew, and how often.
 CROWD, LEVELS = 20_000, 2
 #: The most links (16 bytes each) that one executor task unites, and the most rows of 24 bytes that are broadcast.
@@ -97,8 +100,8 @@ def set_names(row: np.ndarray, el: np.ndarray, n: int, salt: int = 0) -> tuple[n
 
 
 def sketch_bits(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Parity bits of a set's sketch: a power of two, at least three times the differences of linked sets of that size."""
-    least = np.maximum(3 * (2 * sizes * (den - num) // (den + num)), LEAST_BITS)
+    """Parity bits of a set's sketch: a power of two, at least six times the differences of linked sets of that size."""
+    least = np.maximum(6 * (2 * sizes * (den - num) // (den + num)), LEAST_BITS)
     return 1 << np.ceil(np.log2(least)).astype(np.int64)
 
 
@@ -346,8 +349,37 @@ def _apart(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cross(num: int, den: int):
-    """Rows sorted by sig: pairs of members with different roots that sizes and parities do not rule out.  One signature is kept between batches."""
+def _cross(num: int, den: int, most: int | None):
+    """Rows sorted by sig: sig and pairs of members with different roots that sizes and parities do not rule out; of a member's, the ``most`` first (None: all).
+
+    A pair is listed by the smallest signature that both share, so once.  One
+    signature is kept between batches.
+    """
+
+    def listed_here(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether no smaller signature holds both rows."""
+        out = np.ones(len(i), bool)
+        for a in range(0, len(i), LISTED_PAIRS):
+            pair, value = [], []
+            for rows in (i[a : a + LISTED_PAIRS], j[a : a + LISTED_PAIRS]):
+                n = x["me"][rows] - x["ms"][rows]
+                which = np.repeat(np.arange(len(rows)), n)
+                sig = x["more"][np.repeat(x["ms"][rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                less = sig < x["sig"][rows][which]
+                pair.append(which[less])
+                value.append(sig[less])
+            pair, value = np.concatenate(pair), np.concatenate(value)
+            order = np.lexsort((value, pair))
+            pair, value = pair[order], value[order]
+            out[a + pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])]] = False
+        return out
+
+    def picked(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        one, other = np.concatenate([i, j]), np.concatenate([j, i])
+        order = np.lexsort((mix(x["node"][other].view(np.uint64)), one))
+        start = np.flatnonzero(np.diff(one[order], prepend=-1))
+        rank = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
+        return np.unique(order[rank < most] % len(i))
 
     def pairs(x: dict) -> Iterator[np.ndarray]:
         order = np.lexsort((x["size"], x["sig"]))
@@ -366,17 +398,30 @@ def _cross(num: int, den: int):
             ok = x["root"][i] != x["root"][j]
             i, j = i[ok], j[ok]
             ok = _apart(x, i, j) * (den + num) <= (x["size"][i] + x["size"][j]) * (den - num)
+            i, j = i[ok], j[ok]
+            ok = listed_here(x, i, j)
             if ok.any():
-                yield np.unique(np.sort(np.column_stack([x["node"][i[ok]], x["node"][j[ok]]]), 1), axis=0)
+                i, j = i[ok], j[ok]
+                if most is not None:
+                    take = picked(x, i, j)
+                    i, j = i[take], j[take]
+                yield np.column_stack([x["sig"][i], np.sort(np.column_stack([x["node"][i], x["node"][j]]), 1)])
             a = z
 
+    flat = (("bits", "starts", "ends"), ("more", "ms", "me"))  # values of all rows, and where those of a row begin and end
+
     def joined(x: dict, y: dict) -> dict:
-        both = {c: np.concatenate([x[c], y[c]]) for c in ("sig", "node", "root", "size", "bits")}
-        return both | {c: np.concatenate([x[c], y[c] + len(x["bits"])]) for c in ("starts", "ends")}
+        out = {c: np.concatenate([x[c], y[c]]) for c in ("sig", "node", "root", "size")}
+        for values, lo, hi in flat:
+            out |= {values: np.concatenate([x[values], y[values]])} | {c: np.concatenate([x[c], y[c] + len(x[values])]) for c in (lo, hi)}
+        return out
 
     def cut(x: dict, i: int, j: int) -> dict:
-        lo, hi = (int(x["starts"][i]), int(x["ends"][j - 1])) if i < j else (0, 0)
-        return {c: x[c][i:j] for c in ("sig", "node", "root", "size")} | {"bits": x["bits"][lo:hi], "starts": x["starts"][i:j] - lo, "ends": x["ends"][i:j] - lo}
+        out = {c: x[c][i:j] for c in ("sig", "node", "root", "size")}
+        for values, lo, hi in flat:
+            first, last = (int(x[lo][i]), int(x[hi][j - 1])) if i < j else (0, 0)
+            out |= {values: x[values][first:last], lo: x[lo][i:j] - first, hi: x[hi][i:j] - first}
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
@@ -386,6 +431,9 @@ def _cross(num: int, den: int):
             x = {c: _long(batch, c) for c in ("sig", "node", "root", "size")}
             body, off = text_buffers(_col(batch, "bits"))
             x |= {"bits": np.frombuffer(body.tobytes(), np.uint64), "starts": off[:-1] // 8, "ends": off[1:] // 8}
+            sigs = _col(batch, "sigs")
+            ends = np.cumsum(sigs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            x |= {"more": sigs.flatten().to_numpy(zero_copy_only=False).astype(np.int64), "ms": np.concatenate([[0], ends[:-1]]), "me": ends}
             if held is not None:
                 x = joined(held, x)
             n = len(x["sig"])
@@ -393,10 +441,10 @@ def _cross(num: int, den: int):
             held = cut(x, done, n)
             if done:
                 for p in pairs(cut(x, 0, done)):
-                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(p[:, c]) for c in range(3)], names=["sig", "a", "b"])
         if held is not None:
             for p in pairs(held):
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, c]) for c in range(3)], names=["sig", "a", "b"])
 
     return run
 
@@ -596,13 +644,21 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("sig", "n")
         left = written(labelled.join(mixed, "sig"), f"mixed-{level}")
         last = level == levels  # partitions so often drawn anew leave only what is alike
-        some = left if last else left.filter(F.col("n") <= crowd)
-        rows = some.join(classes.select(F.col("name").alias("node"), "size", "bits"), "node").select("sig", "node", "root", "size", "bits")
-        found = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig").mapInArrow(_cross(num, den), "a long, b long").distinct()
-        found = written(found.join(first, ["a", "b"], "left_anti"), "pairs")
-        if not found.isEmpty():
-            links, first = links.unionByName(verified(found)), first.unionByName(found)
-            roots = components(links)
+        some = (left if last else left.filter(F.col("n") <= crowd)).select("sig", "node", "root")
+        # First one partner of each member, then some, then all: what is linked meanwhile is not compared again.
+        for most in PARTNERS:
+            lists = some.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+            about = lists.join(classes.select(F.col("name").alias("node"), "size", "bits"), "node")
+            rows = some.join(about, "node").select("sig", "node", "root", "size", "bits", "sigs")
+            met = written(rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig").mapInArrow(_cross(num, den, most), "sig long, a long, b long"), "met")
+            found = written(met.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+            if not found.isEmpty():
+                links, first = links.unionByName(verified(found)), first.unionByName(found)
+                roots = components(links)
+            if most is None or met.isEmpty():
+                break
+            again = some.select("sig", "node").join(met.select("sig").distinct(), "sig")  # the other signatures have no such pairs
+            some = again.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
         crowded = left.filter(F.col("n") > crowd).select("sig", "node")
         if last or crowded.isEmpty():
             break
