@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stateloom.functions.hashing import be8, keccak, pad32
 from stateloom.plans import generators as g
+from stateloom.plans.code_patterns import CodePattern, pattern_of
 from stateloom.sources.spec import Entity, SpecError, hex_bytes, quoted_u256
 
 #: Fixed value: the default deterministic-deployment factory.
@@ -102,11 +103,15 @@ def sequential_pkey_eoas(spark, e: Entity, seed: int) -> Expansion:
     return Expansion(_constant(g.key_addresses(spark, int(p["start_pkey"], 0), _count(p)), 0, quoted_u256(p["balance"]) if "balance" in p else ONE))
 
 
-def _init_code(p: dict) -> bytes:
-    return hex_bytes(p["initcode"]) if "initcode" in p else g.max_same_code(int(p.get("code_size", MAX)))
+def _pattern(p: dict, *owned: str) -> CodePattern | None:
+    try:
+        return pattern_of(p, *owned)
+    except ValueError as e:
+        raise SpecError(str(e)) from e
 
 
-MAX = 24576
+def _init_code(p: dict, pattern: CodePattern | None) -> bytes:
+    return pattern.init_code() if pattern else hex_bytes(p["initcode"])
 
 
 def sequential_pkey_delegations(spark, e: Entity, seed: int) -> Expansion:
@@ -114,7 +119,7 @@ def sequential_pkey_delegations(spark, e: Entity, seed: int) -> Expansion:
     p = e.parameters
     n, first = _count(p), int(p.get("salt_start", 0))
     keys = g.key_addresses(spark, int(p["start_pkey"], 0), n)
-    targets = g.create2_addresses(spark, hex_bytes(p["factory"], 20) if "factory" in p else FACTORY, _init_code(p), first, n).select((F.col("salt") - first).alias("i"), F.col("address").alias("target"))
+    targets = g.create2_addresses(spark, hex_bytes(p["factory"], 20) if "factory" in p else FACTORY, _init_code(p, _pattern(p, "initcode")), first, n).select((F.col("salt") - first).alias("i"), F.col("address").alias("target"))
     rows = keys.join(targets, "i")
     balance = quoted_u256(p["balance"]) if "balance" in p else ONE
     return Expansion(rows.select("address", F.lit(1).cast("bigint").alias("nonce"), F.unhex(F.lit(balance.hex())).alias("balance"), F.concat(F.unhex(F.lit("ef0100")), "target").alias("code")))
@@ -131,9 +136,10 @@ def create2_factory(spark, e: Entity, seed: int) -> Expansion:
     return Expansion(_account(spark, e, nonce=1, code=code))
 
 
-def _deployed(addresses: DataFrame, p: dict) -> Expansion:
-    code = hex_bytes(p["runtime"]) if p.get("runtime") else g.max_same_code(int(p.get("code_size", MAX)))
-    accounts = _constant(addresses, 1, ZERO, code)
+def _deployed(addresses: DataFrame, p: dict, pattern: CodePattern | None) -> Expansion:
+    accounts = _constant(addresses, 1, ZERO, b"" if pattern else hex_bytes(p["runtime"]))
+    if pattern:
+        accounts = accounts.withColumn("code", pattern.column(F.col("address")))
     slots = {hex_bytes(k if len(k) % 2 == 0 else "0x0" + k[2:]).rjust(32, b"\0"): hex_bytes(v if len(v) % 2 == 0 else "0x0" + v[2:]).rjust(32, b"\0") for k, v in p.get("storage_init", {}).items()}
     if len(slots) < len(p.get("storage_init", {})):
         raise SpecError("storage_init names a slot twice")
@@ -145,12 +151,13 @@ def _deployed(addresses: DataFrame, p: dict) -> Expansion:
 
 def create2_deploys(spark, e: Entity, seed: int) -> Expansion:
     p = e.parameters
-    return _deployed(g.create2_addresses(spark, hex_bytes(p["factory"], 20) if "factory" in p else FACTORY, _init_code(p), int(p.get("salt_start", 0)), _count(p, "salt_count")).select("address"), p)
+    pattern = _pattern(p, "initcode", "runtime")
+    return _deployed(g.create2_addresses(spark, hex_bytes(p["factory"], 20) if "factory" in p else FACTORY, _init_code(p, pattern), int(p.get("salt_start", 0)), _count(p, "salt_count")).select("address"), p, pattern)
 
 
 def create_preimage_deploys(spark, e: Entity, seed: int) -> Expansion:
     p = e.parameters
-    return _deployed(g.create_addresses(spark, hex_bytes(p["sender"], 20), int(p.get("start_nonce", 0)), _count(p)).select("address"), p)
+    return _deployed(g.create_addresses(spark, hex_bytes(p["sender"], 20), int(p.get("start_nonce", 0)), _count(p)).select("address"), p, _pattern(p, "runtime"))
 
 
 _ALL = {"balance", "nonce", "code", "approximate_size_bytes"}
