@@ -281,6 +281,19 @@ def code_pattern_bytes(t):
     return t.supplier.select("s_suppkey", F.concat(F.lit("00"), F.expr("repeat('5b', cast(96 + s_suppkey % 50 as int))")).alias("max_same"), F.concat(F.lit("00" * 12), a, F.lit("5b" * 64)).alias("max_diff"))
 
 
+@query(
+    "code_pattern_runtime",
+    "with a as (select s_suppkey, substr(sha256(s_suppkey::varchar), 25, 40) as a from supplier) "
+    "select s_suppkey, '60ff56' || repeat('5b', 41) || a || repeat('5b', 192) as unique_jumpdest, '00' || repeat('5b', 255) as max_same, repeat('00', 12) || a || repeat('5b', 224) as max_diff from a",
+)
+def code_pattern_runtime(t):
+    """GEN27: the code of the three patterns at 256 bytes, by the builders that the templates use."""
+    from stateloom.plans.code_patterns import ADDRESS_AT, CodePattern
+
+    rows = t.supplier.select("s_suppkey", F.unhex(F.substring(_hash("s_suppkey"), 25, 40)).alias("address"))
+    return rows.select("s_suppkey", *(F.lower(F.hex(CodePattern(k, 256).column(F.col("address")))).alias(k) for k in ADDRESS_AT))
+
+
 @query("code_chunks", "select doc_id, cast(i as int) as i, sha256(substr(hex, cast(i * 62 + 1 as int), 62)) as chunk from (select doc_id, lower(hex(encode(text))) as hex, unnest(range(0, cast(ceil(octet_length(encode(text)) / 31.0) as bigint))) as i from documents where n_chars > 0)")
 def code_chunks(t):
     """31-byte chunks of code by offset."""
