@@ -91,4 +91,7 @@ def reachable(edges: DataFrame, roots: DataFrame, levels: int = 65) -> DataFrame
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    else:
+        if not frontier.isEmpty():
+            raise RuntimeError(f"nodes are still reached after {levels} levels")
     return seen
