@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def be(n: int) -> bytes:
     """Big-endian without leading zeros; 0 is empty."""
@@ -125,3 +128,37 @@ def jump_destinations(code: bytes) -> bytes:
 def push(n: int) -> bytes:
     """The shortest instruction that pushes ``n``."""
     return b"\x5f" if n == 0 else bytes([0x5F + len(be(n))]) + be(n)
+
+
+# --- compact records, as columns -------------------------------------------------------
+
+
+def stripped(b: Column) -> Column:
+    """Hex of a big-endian number without its leading zero bytes; zero is empty."""
+    return F.regexp_replace(F.hex(b), "^(00)+", "")
+
+
+def compact_account(nonce: Column, balance: Column, code_hash: Column) -> Column:
+    """Binary record of an account: two header bytes (low first: 4 bits nonce bytes, 6 bits balance bytes, 1 bit code), nonce, balance, code hash if any."""
+    n, b = stripped(F.unhex(F.lpad(F.hex(nonce.cast("bigint")), 16, "0"))), stripped(balance)
+    half = lambda x: (F.length(x) / 2).cast("int")
+    head = half(n) + 16 * half(b) + F.when(code_hash.isNull(), 0).otherwise(1024)
+    octet = lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")
+    return F.unhex(F.concat(octet(F.pmod(head, F.lit(256))), octet(F.floor(head / 256)), n, b, F.coalesce(F.hex(code_hash), F.lit(""))))
+
+
+def compact_account_fields(record: Column) -> Column:
+    """nonce, balance (stripped) and code_hash of such a record."""
+    h = F.hex(record)
+    octet = lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("int")
+    head = octet(1) + 256 * octet(3)
+    n, b = F.pmod(head, F.lit(16)), F.pmod(F.floor(head / 16), F.lit(64)).cast("int")
+    cut = lambda at, size: F.substring(h, (5 + 2 * at).cast("int"), (2 * size).cast("int"))
+    nonce = F.when(n == 0, F.lit(0)).otherwise(F.conv(cut(F.lit(0), n), 16, -10).cast("bigint"))
+    code = F.when(head >= 1024, F.unhex(cut(n + b, F.lit(32))))
+    return F.struct(nonce.cast("bigint").alias("nonce"), F.unhex(cut(n, b)).alias("balance"), code.alias("code_hash"))
+
+
+def compact_slot(key: Column, value: Column) -> Column:
+    """Binary record of a storage slot: the key of 32 bytes, then the value without leading zero bytes."""
+    return F.unhex(F.concat(F.hex(key), stripped(value)))

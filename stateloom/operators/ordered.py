@@ -29,6 +29,20 @@ def prefix_sum(df: DataFrame, order: str, value: str, block: Column, out: str =
     return rows.withColumn("_inner", inner).join(F.broadcast(before), "_block").withColumn(out, (F.col("_inner") + F.col("_before")).cast("bigint")).drop("_block", "_inner", "_before")
 
 
+def neighbour(df: DataFrame, key: str, group: Column, block: Column, out: str, after: bool = False) -> DataFrame:
+    """``df`` with the key before (or ``after``) by ``key`` inside ``group``, null at its end.
+
+    ``block`` refines ``group`` and does not decrease as ``key`` grows.  Blocks are ordered alone; only their
+    first or last keys, as many rows as blocks, are ordered by group and sent out.
+    """
+    rows = df.withColumn("_group", group).withColumn("_block", block)
+    near, edge = (F.lead, F.min) if after else (F.lag, F.max)
+    edges = rows.groupBy("_group", "_block").agg(edge(key).alias("_edge"))
+    beside = edges.select("_block", near("_edge").over(Window.partitionBy("_group").orderBy("_block")).alias("_edge"))
+    inner = rows.withColumn(out, near(key).over(Window.partitionBy("_block").orderBy(key)))
+    return inner.join(F.broadcast(beside), "_block").withColumn(out, F.coalesce(out, "_edge")).drop("_group", "_block", "_edge")
+
+
 def truncate_to_budget(df: DataFrame, order: str, cost: str, budget: int, block: Column) -> DataFrame:
     """The longest prefix by ``order`` whose running ``cost`` stays within ``budget``; costs are positive."""
     return prefix_sum(df, order, cost, block).filter(F.col("running") <= budget)

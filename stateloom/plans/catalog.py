@@ -126,11 +126,11 @@ def first_three(t):
 def cpl_lag(t):
     """Common prefix (to 16 nibbles) with the key before, inside one top nibble."""
     rows = t.orders.select("o_orderkey", _hash("o_orderkey").alias("h"))
-    return _with_cpl(rows, F.lag("h")).select("o_orderkey", "h", "cpl")
+    return _with_cpl(rows).select("o_orderkey", "h", "cpl")
 
 
-def _with_cpl(rows: DataFrame, other, out: str = "cpl") -> DataFrame:
-    rows = rows.withColumn("_p", other.over(Window.partitionBy(F.substring("h", 1, 1)).orderBy("h")))
+def _with_cpl(rows: DataFrame, out: str = "cpl", after: bool = False) -> DataFrame:
+    rows = ordered.neighbour(rows, "h", F.substring("h", 1, 1), F.substring("h", 1, 3), "_p", after)
     same = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.when(F.substring(F.col("h"), F.lit(1), i) == F.substring(F.col("_p"), F.lit(1), i), i).otherwise(F.lit(0))))
     return rows.withColumn(out, F.coalesce(F.when(F.col("_p").isNotNull(), same), F.lit(0))).drop("_p")
 
@@ -138,7 +138,7 @@ def _with_cpl(rows: DataFrame, other, out: str = "cpl") -> DataFrame:
 @query("placement_depth", "with k as (select sha256(o_orderkey::varchar) as h from orders), n as (select h, lag(h) over w as p, lead(h) over w as q from k window w as (partition by substr(h, 1, 1) order by h)), c as (select h, coalesce((select max(i) from range(0, 17) r(i) where substr(h, 1, cast(i as int)) = substr(p, 1, cast(i as int))), 0) as a, coalesce((select max(i) from range(0, 17) r(i) where substr(h, 1, cast(i as int)) = substr(q, 1, cast(i as int))), 0) as b from n) select h, cast(greatest(a, b) + 1 as int) as depth, cast(ceil((greatest(a, b) + 1) / 4.0) * 4 as int) as grouped from c")
 def placement_depth(t):
     """W4, AG5: depth max(left, right common prefix) + 1, rounded up to a group boundary of 4."""
-    rows = _with_cpl(_with_cpl(t.orders.select(_hash("o_orderkey").alias("h")), F.lag("h"), "a"), F.lead("h"), "b")
+    rows = _with_cpl(_with_cpl(t.orders.select(_hash("o_orderkey").alias("h")), "a"), "b", after=True)
     depth = F.greatest("a", "b") + 1
     return rows.select("h", depth.cast("int").alias("depth"), (F.ceil(depth / 4) * 4).cast("int").alias("grouped"))
 
@@ -184,15 +184,23 @@ def cdf_class_draw(t):
 
 
 def inverse_cdf(rows: DataFrame, classes: DataFrame, limit: int = 65536) -> DataFrame:
-    """Joins the class whose [lo, hi) holds the draw: the class table (at most ``limit`` rows) goes out as one sorted array."""
-    table = classes.orderBy("lo").limit(limit + 1).collect()
-    if len(table) > limit:
+    """Joins the class whose [lo, hi) holds the draw.
+
+    The range is cut into as many equal cells as there are classes (at most ``limit``, checked), and each
+    class goes out once for every cell that it touches: an equi-join on the cell, in which a draw
+    meets two classes on average however uneven the weights are.
+    """
+    size, total = classes.agg(F.count("*"), F.max("hi")).first()
+    if size > limit:
         raise ValueError("class table too large for a broadcast draw")
-    total = table[-1].hi if table else 0
-    schema = classes.schema
-    drawn = rows.withColumn("_u", F.pmod(F.expr(_u()), F.lit(total)))
-    held = F.broadcast(rows.sparkSession.createDataFrame(table, schema))
-    return drawn.join(held, (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))).drop("_u", "lo", "hi")
+    if not total:
+        raise ValueError("class table without weight")
+    width = max(1, total // size)
+    cell = lambda c: F.floor(c / width).cast("bigint")
+    held = classes.filter("hi > lo").withColumn("_cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
+    drawn = rows.withColumn("_u", F.pmod(F.expr(_u()), F.lit(total))).withColumn("_cell", cell(F.col("_u")))
+    found = drawn.join(F.broadcast(held), "_cell").filter((F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi")))
+    return found.drop("_u", "_cell", "lo", "hi")
 
 
 @query("tail_interpolate", f"with k(lo_u, hi_u, lo_s, hi_s) as (values (0, 500, 28, 100), (500, 900, 100, 1000), (900, 1000, 1000, 100000)) select o_orderkey, cast(least(lo_s + 1 + (u - lo_u) * (hi_s - lo_s) // (hi_u - lo_u), hi_s) as bigint) as slots from (select o_orderkey, {_du('sha256(o_orderkey::varchar)')} % 1000 as u from orders) join k on u >= lo_u and u < hi_u")
@@ -246,14 +254,59 @@ def contract_slots(t):
 
 @query("code_pool_pick", "with m as (select doc_id, n_chars, row_number() over (order by n_chars desc, doc_id) as r from documents), s as (select p_partkey, p_size * 100 as want from part), e as (select p_partkey, want, (select count(*) from m where n_chars >= want) as k from s) select p_partkey, want, doc_id from e join m on m.r = 1 + p_partkey % k where k > 0")
 def code_pool_pick(t):
-    """GEN7, J7: a pool member of sufficient size: members ranked by size, so the eligible ones are a prefix and the theta join becomes two equi-joins."""
+    """GEN7, J7: a pool member of sufficient size: members ranked by size, so the eligible ones are a prefix, whose length is a running count of sizes."""
     members = t.documents.select("doc_id", "n_chars").withColumn("k", F.format_string("%012d|%020d", F.lit(10**11) - F.col("n_chars"), F.col("doc_id")))
-    ranked = ordered.global_rank(members, "k", F.floor(F.lit(10**8) - F.col("n_chars") / 1000), "r").select("doc_id", "n_chars", "r")
+    ranked = ordered.global_rank(members, "k", F.floor(F.lit(10**8) - F.col("n_chars") / 1000), "r").select("doc_id", "r")
     wanted = t.part.select("p_partkey", (F.col("p_size") * 100).cast("bigint").alias("want"))
-    eligible = wanted.select("want").distinct().join(ranked.select("n_chars"), F.col("n_chars") >= F.col("want")).groupBy("want").agg(F.count("*").alias("n"))
+    eligible = _at_least(members.select("n_chars"), wanted.select("want")).filter("n > 0")
     return wanted.join(eligible, "want").withColumn("r", 1 + F.pmod("p_partkey", "n")).join(ranked, "r").select("p_partkey", "want", "doc_id")
 
 
+def _at_least(sizes: DataFrame, wants: DataFrame) -> DataFrame:
+    """want and n, the number of sizes of at least ``want``: sizes are counted, and one running sum from the largest serves all wants."""
+    marks = sizes.toDF("want").withColumn("one", F.lit(1)).unionByName(wants.toDF("want").withColumn("one", F.lit(0))).filter(F.col("want").isNotNull())
+    counts = marks.groupBy("want").agg(F.sum("one").alias("here"), F.min("one").alias("asked"))
+    running = ordered.prefix_sum(counts.withColumn("_down", -F.col("want")), "_down", "here", F.floor(F.col("_down") / 1000), "n")
+    return running.filter("asked = 0").select("want", "n")
+
+
+@query(
+    "truncated_normal",
+    "with d as (select p_partkey, list_transform(range(1, 9), lambda i: sha256('norm-' || p_partkey::varchar || '-' || i::varchar)) as hs from part), "
+    "v as (select p_partkey, list_transform(hs, lambda h: 900.0::double + sqrt(-2.0::double * ln((cast('0x' || substr(h, 1, 8) as bigint) + 1) / 4294967296.0::double)) * cos(2 * pi() * (cast('0x' || substr(h, 9, 8) as bigint) / 4294967296.0::double)) * 700.0::double) as vs from d), "
+    "w as (select p_partkey, vs, list_filter(vs, lambda x: x >= 1000 and x <= 1200) as good from v) "
+    "select p_partkey, cast(coalesce(floor(good[1]), case when vs[8] < 1000 then 1000 else 1200 end) as bigint) as size from w",
+)
+def truncated_normal(t):
+    """RNG1, GEN7: a normal draw within bounds, eight attempts, then the bound."""
+    from stateloom.plans.generators import truncated_normal as draw
+
+    return t.part.select("p_partkey", draw(F.col("p_partkey"), "norm", 900.0, 700.0, 1000, 1200).alias("size"))
+
+
+@query("significant_bytes", "select o_orderkey, n, case when n = 0 then '' else (case when substr(h, 1, 2) = '00' then '01' else substr(h, 1, 2) end) || substr(h, 3, cast(2 * n - 2 as int)) end as number from (select o_orderkey, sha256('sig-' || o_orderkey::varchar) as h, cast(o_orderkey % 33 as int) as n from orders)")
+def significant_bytes(t):
+    """RNG6: numbers of exactly n bytes, the first of them not zero."""
+    from stateloom.plans.generators import significant
+
+    n = F.pmod("o_orderkey", F.lit(33)).cast("int")
+    return t.orders.select("o_orderkey", n.alias("n"), significant(F.sha2(F.concat(F.lit("sig-"), F.col("o_orderkey").cast("string")), 256), n).alias("number"))
+
+
+@query("seed_salt", "select c_custkey as seed, list_reduce([2166136261::bigint] || list_transform(range(7, -1, -1), lambda i: (c_custkey::bigint >> (8 * i)) & 255), lambda a, x: (xor(a, x) * 16777619) & 4294967295) as salt from customer")
+def seed_salt(t):
+    """the salt of a seed."""
+    from stateloom.plans.generators import salt
+
+    return t.customer.select(F.col("c_custkey").alias("seed"), salt(F.col("c_custkey")).alias("salt"))
+
+
+@query("human_counts", "select user_id, format('{:,}', sum(event_id)::bigint) as shown from events group by 1")
+def human_counts(t):
+    """whole numbers with separators."""
+    return t.events.groupBy("user_id").agg(F.format_number(F.sum("event_id"), 0).alias("shown"))
+
+
 @query("rank_permutation", "select p_partkey as rank, (p_partkey * 7919) % 20011 as place from part")
 def rank_permutation(t):
     """GEN9: a coprime multiplicative permutation of ranks."""
@@ -644,6 +697,27 @@ def fixed_width(t):
     return t.part.select("p_partkey", F.lower(F.hex(be8(F.col("p_partkey")))).alias("be"), F.lower(F.hex(pad32(be8(F.col("p_partkey"))))).alias("slot"), F.lower(basic).alias("basic"))
 
 
+_COMPACT = "select c_custkey, cast(c_custkey % 1000 * 3700 as bigint) as nonce, cast(round(abs(c_acctbal) * 100) as bigint) as balance, case when c_custkey % 3 = 0 then sha256(c_custkey::varchar) end as code from customer"
+
+
+@query(
+    "compact_accounts",
+    f"with a as ({_COMPACT}), x as (select *, case when nonce = 0 then '' else printf('%x', nonce) end as nx, case when balance = 0 then '' else printf('%x', balance) end as bx from a), "
+    "e as (select *, repeat('0', cast(length(nx) % 2 as int)) || nx as n, repeat('0', cast(length(bx) % 2 as int)) || bx as b from x), "
+    "h as (select *, cast(length(n) / 2 + 8 * length(b) + case when code is null then 0 else 1024 end as bigint) as head from e) "
+    "select c_custkey, printf('%02x%02x', head % 256, head // 256) || n || b || coalesce(code, '') as record, nonce, b as balance, code as code_hash from h",
+)
+def compact_accounts(t):
+    """F8, F9, SNK6: accounts as compact records, and the fields read back from them."""
+    from stateloom.functions.codecs import compact_account, compact_account_fields
+
+    balance = F.unhex(F.lpad(F.hex(F.round(F.abs("c_acctbal") * 100).cast("bigint")), 64, "0"))
+    code = F.when(F.col("c_custkey") % 3 == 0, F.unhex(_hash("c_custkey")))
+    rows = t.customer.select("c_custkey", compact_account(F.col("c_custkey") % 1000 * 3700, balance, code).alias("r"))
+    low = lambda c: F.lower(F.hex(c))
+    return rows.withColumn("f", compact_account_fields(F.col("r"))).select("c_custkey", low("r").alias("record"), "f.nonce", low("f.balance").alias("balance"), low("f.code_hash").alias("code_hash"))
+
+
 @query("route_by_depth", f"select path, case when length(path) <= 1 then 'top' when length(path) <= 2 then 'mid' else 'fallback' end as family from ({_ROWS})")
 def route_by_depth(t):
     """SNK5: column family by path length."""
@@ -693,13 +767,37 @@ def stem_bitmap(t):
     return _stems(t).groupBy(F.lower(F.hex("stem")).alias("stem")).agg(F.bit_or(bit).alias("low_bits"), F.countDistinct("suffix").alias("n"))
 
 
-@query("stem_hash")
+def _folded(name: str, k: str, levels: int, below: str, start: str) -> str:
+    """SQL of SHA-256 folds of (keys, pos, h), one level at a time: a missing side is zeros, a missing pair nothing."""
+    pair = "sha256(unhex(coalesce(max(case when pos % 2 = 0 then h end), repeat('00', 32)) || coalesce(max(case when pos % 2 = 1 then h end), repeat('00', 32))))"
+    steps = [f"{name}{levels} as ({start})"]
+    for i in range(levels - 1, -1, -1):
+        steps.append(f"{name}{i} as (select {k}pos // 2 as pos, {pair} as h from {name}{i + 1} group by {k}pos // 2{below.format(i=i, shift=levels - i)})")
+    return ", ".join(steps)
+
+
+_STEM_SQL = (
+    "leaf as (select distinct substr(sha256((o_orderkey // 64)::varchar), 1, 62) as stem, o_orderkey * 3 % 256 as pos, sha256(unhex(sha256(o_custkey::varchar))) as h from orders), "
+    + _folded("s", "stem, ", 8, "", "select stem, pos, h from leaf")
+    + ", stems as (select stem, n, sha256(unhex(stem || '00' || h)) as stem_hash from s0 join (select stem, count(*) as n from leaf group by 1) using (stem))"
+)
+
+
+@query("stem_hash", f"with {_STEM_SQL} select stem, n, stem_hash from stems")
 def stem_hash(t):
     """AG4, T8: stems folded in eight rounds of built-in SHA-256."""
     return merkle.stem_hashes(_stems(t).dropDuplicates(["stem", "suffix"])).select(F.lower(F.hex("stem")).alias("stem"), "n", "stem_hash")
 
 
-@query("binary_root")
+_PLACED_SQL = (
+    "b as (select cast('0x' || substr(stem, 1, 10) as bigint) as v, stem_hash as h from stems), "
+    "near as (select v, h, lag(v) over (order by v) as p, lead(v) over (order by v) as q from b), "
+    "placed as materialized (select v, h, greatest(coalesce(40 - length(bin(xor(v, p))), -1), coalesce(40 - length(bin(xor(v, q))), -1)) + 1 as depth from near), "
+    + _folded("t", "", 40, " union all select v >> {shift}, h from placed where depth = {i}", "select v as pos, h from placed where depth = 40")
+)
+
+
+@query("binary_root", f"with {_STEM_SQL}, {_PLACED_SQL} select h as root from t0")
 def binary_root(t):
     """AG5, T8: root over all stems."""
     return merkle.binary_root(merkle.stem_hashes(_stems(t).dropDuplicates(["stem", "suffix"]))).select(F.lower(F.hex("root")).alias("root"))

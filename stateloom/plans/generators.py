@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -196,42 +197,40 @@ def max_diff_code(address: bytes, size: int) -> bytes:
     return bytes(12) + address + b"\x5b" * (size - 32)
 
 
-class Pcg:
-    """The 128-bit permuted congruential generator (DXSM output) with a two-word seed."""
-
-    MUL = 2549297995355413924 << 64 | 4865540595714422341
-    INC = 6364136223846793005 << 64 | 1442695040888963407
-
-    def __init__(self, hi: int, lo: int):
-        self.state = hi << 64 | lo
-
-    def next(self) -> int:
-        mask = (1 << 64) - 1
-        self.state = (self.state * self.MUL + self.INC) & ((1 << 128) - 1)
-        hi, lo = self.state >> 64, self.state & mask
-        hi ^= hi >> 32
-        hi = hi * 0xDA942042E4DD58B5 & mask
-        hi ^= hi >> 48
-        return hi * (lo | 1) & mask
-
-
 def giant_slots(spark: SparkSession, seed: int, giant: int, count: int, length_cdf: list[float]) -> DataFrame:
-    """j, slot_key, slot_value: slot j is a function of (seed, giant, j) alone; value lengths by ``length_cdf`` (32 cumulative shares)."""
-    lead = keccak(b"storage" + seed.to_bytes(8, "big") + giant.to_bytes(8, "big"))
-    slot_seed = int.from_bytes(lead[:8], "big")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, values = [], []
-            for j in batch.column(0).to_pylist():
-                g = Pcg(slot_seed, j)
-                keys.append(b"".join(g.next().to_bytes(8, "big") for _ in range(4)))
-                u = (g.next() >> 11) / 2**53
-                n = 1 + next((i for i, c in enumerate(length_cdf) if u < c), 31)
-                v = bytearray(b"".join(g.next().to_bytes(8, "big") for _ in range(4)))
-                v[: 32 - n] = bytes(32 - n)
-                v[32 - n] = v[32 - n] or 1
-                values.append(bytes(v))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["j", "slot_key", "slot_value"])
-
-    return spark.range(count).mapInArrow(run, "j long, slot_key binary, slot_value binary")
+    """j, slot_key, slot_value: slot j is a counter hash of (seed, giant, j); value lengths by ``length_cdf`` (32 cumulative shares)."""
+    draw = lambda what: _counter(f"giant-{what}-{giant}", seed, "id")
+    share = _u32(draw("length")) / F.lit(2.0**32)
+    over = F.size(F.filter(F.array(*[F.lit(float(c)) for c in length_cdf]), lambda c: c <= share))
+    rows = spark.range(count).select(F.col("id").alias("j"), draw("key").alias("k"), draw("value").alias("v"), F.least(over + 1, F.lit(32)).alias("n"))
+    return rows.select("j", F.unhex("k").alias("slot_key"), F.unhex(F.lpad(significant(F.col("v"), F.col("n")), 64, "0")).alias("slot_value"))
+
+
+def significant(h: Column, n: Column) -> Column:
+    """Hex of a number of exactly ``n`` bytes (0 to 32, 0 is empty) from the hash ``h``: a leading zero byte becomes 1."""
+    lead = F.substring(h, 1, 2)
+    lead = F.when(lead == "00", F.lit("01")).otherwise(lead)
+    return F.when(n <= 0, F.lit("")).otherwise(F.concat(lead, F.substring(h, F.lit(3), (2 * n - 2).cast("int"))))
+
+
+def truncated_normal(key: Column, domain: str, mean: float, deviation: float, lo: int, hi: int, attempts: int = 8) -> Column:
+    """A whole number of N(mean, deviation) within [lo, hi]: the first of ``attempts`` counter draws that falls inside, else the last one's bound."""
+    if lo >= hi:
+        return F.lit(lo).cast("bigint")
+
+    def value(i: Column) -> Column:
+        h = F.sha2(F.concat_ws("-", F.lit(domain), key.cast("string"), i.cast("string")), 256)
+        u, v = (_u32(h) + 1) / F.lit(2.0**32), _u32(h, 9) / F.lit(2.0**32)
+        return F.lit(mean) + F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2 * math.pi) * v) * F.lit(deviation)
+
+    values = F.transform(F.sequence(F.lit(1), F.lit(attempts)), value)
+    inside = F.filter(values, lambda x: (x >= float(lo)) & (x <= float(hi)))
+    bound = F.when(F.element_at(values, -1) < float(lo), F.lit(lo)).otherwise(F.lit(hi))
+    return F.coalesce(F.floor(F.get(inside, F.lit(0))), bound).cast("bigint")
+
+
+def salt(seed: Column) -> Column:
+    """The 32-bit FNV-1a hash of a seed's eight big-endian bytes."""
+    octets = F.transform(F.sequence(F.lit(1), F.lit(15), F.lit(2)), lambda i: F.conv(F.substring(F.lpad(F.hex(seed.cast("bigint")), 16, "0"), i, F.lit(2)), 16, 10).cast("bigint"))
+    step = lambda a, x: (a.bitwiseXOR(x) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.aggregate(octets, F.lit(2166136261).cast("bigint"), step)

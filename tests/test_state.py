@@ -211,3 +211,41 @@ def test_giant_slots_do_not_depend_on_partitioning(spark):
     a = g.giant_slots(spark, 42, 1, 50, cdf)
     assert {r.j: bytes(r.slot_key) for r in a.collect()} == {r.j: bytes(r.slot_key) for r in a.repartition(3).collect()}
     assert a.filter(F.octet_length("slot_value") != 32).count() == 0
+
+
+def test_giant_values_have_lengths_of_the_table(spark):
+    rows = g.giant_slots(spark, 42, 2, 64, [0.0] * 3 + [1.0] * 29).collect()
+    assert {len(bytes(r.slot_value).lstrip(b"\0")) for r in rows} == {4}
+    assert len({bytes(r.slot_key) for r in rows}) == 64
+
+
+def test_known_salts(spark):
+    def fnv(n):
+        h = 2166136261
+        for b in (n % 2**64).to_bytes(8, "big"):
+            h = (h ^ b) * 16777619 % 2**32
+        return h
+
+    seeds = [0, 1, 42, -1, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(s,) for s in seeds], "s long").select("s", g.salt(F.col("s")).alias("salt")).collect()
+    assert {r.s: r.salt for r in rows} == {s: fnv(s) for s in seeds}
+
+
+def test_compact_accounts_round_trip(spark):
+    from stateloom.functions.codecs import compact_account, compact_account_fields, compact_slot
+
+    rows = [(0, b"", None), (1, b"\0" * 32, b"\x11" * 32), (2**63 - 1, b"\xff" * 32, None), (-1, b"\0\x01\0", b"\0" * 32), (256, b"\x80", None)]
+    df = spark.createDataFrame(rows, "n long, b binary, c binary").select("*", compact_account(F.col("n"), F.col("b"), F.col("c")).alias("r"), compact_slot(F.lit(b"\x07" * 32), F.col("b")).alias("s"))
+    for r in df.withColumn("f", compact_account_fields(F.col("r"))).collect():
+        value = bytes(r.b).lstrip(b"\0")
+        assert (r.f.nonce, bytes(r.f.balance), r.f.code_hash) == (r.n, value, r.c)
+        n = (r.n % 2**64).to_bytes(8, "big").lstrip(b"\0")
+        head = len(n) | len(value) << 4 | (r.c is not None) << 10
+        assert bytes(r.r) == head.to_bytes(2, "little") + n + value + bytes(r.c or b"")
+        assert bytes(r.s) == b"\x07" * 32 + value
+
+
+def test_truncated_normal_stays_inside(spark):
+    rows = spark.range(500).select(g.truncated_normal(F.col("id"), "t", 50.0, 20.0, 40, 60).alias("a"), g.truncated_normal(F.col("id"), "t", 0.0, 1.0, 900, 1000).alias("b"), g.truncated_normal(F.col("id"), "t", 0.0, 1.0, 7, 7).alias("c")).collect()
+    assert {r.b for r in rows} == {900} and {r.c for r in rows} == {7}
+    assert min(r.a for r in rows) >= 40 and max(r.a for r in rows) <= 60 and len({r.a for r in rows}) > 10
