@@ -22,10 +22,11 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stateloom.llm._text import slices, small_batches, text_buffers
+from stateloom.llm._text import slices, small_batches, text_buffers, trimmed
 
 #: Bytes of text whose pieces share one pair index, and pieces remembered by a worker at most.
 CHUNK_BYTES, CACHE_PIECES = 16 << 20, 300_000
@@ -205,12 +206,8 @@ def _with(batch: pa.RecordBatch, name: str, values: list, kind: pa.DataType) ->
     return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(values, kind)], names=[batch.schema.names[i] for i in keep] + [name])
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` as little-endian unsigned 32-bit integers (binary)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(Vocabulary(tokenizer))  # fixed size, whatever the input
-
+def _encoding(shared: Broadcast[Vocabulary], text: str, out: str):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
@@ -220,21 +217,48 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
                 part = batch.slice(i, j - i)
                 yield _with(part, out, list(encoder.encode(t or "" for t in col.slice(i, j - i).to_pylist())), pa.binary())
 
-    return docs.mapInArrow(run, _extended(docs, out, T.BinaryType()))
+    return run
 
 
-def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the text that ``ids`` stand for: tokens joined by one space, as a tokenizer without a decoder does."""
-    spark = df.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(Vocabulary(tokenizer).tokens)
-
+def _decoding(shared: Broadcast[Vocabulary], ids: str, out: str):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
+        token = shared.value.tokens.__getitem__
         for batch in batches:
             body, off = text_buffers(batch.column(batch.schema.names.index(ids)))
             numbers = body.view("<u4") if len(body) else np.zeros(0, np.uint32)
             texts = [" ".join(map(token, numbers[i // 4 : j // 4].tolist())) for i, j in pairwise(off.tolist())]
             yield _with(batch, out, texts, pa.string())
 
-    return df.mapInArrow(run, _extended(df, out, T.StringType()))
+    return run
+
+
+def _shared(df: DataFrame, tokenizer: str) -> Broadcast[Vocabulary]:
+    """The vocabulary for all workers: fixed size, whatever the input."""
+    small_batches(df.sparkSession)
+    return df.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer))
+
+
+def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+    """``docs`` with the token ids of ``text`` as little-endian unsigned 32-bit integers (binary)."""
+    return docs.mapInArrow(_encoding(_shared(docs, tokenizer), text, out), _extended(docs, out, T.BinaryType()))
+
+
+def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """``df`` with the text that ``ids`` stand for: tokens joined by one space, as a tokenizer without a decoder does."""
+    return df.mapInArrow(_decoding(_shared(df, tokenizer), ids, out), _extended(df, out, T.StringType()))
+
+
+def bpe_round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """``docs`` without ``text``, with its token ids and the text they stand for, as bpe_encode and bpe_decode give them.
+
+    One Python worker a task does both; the two chained keep two workers a task.
+    """
+    shared = _shared(docs, tokenizer)
+    encode, decode = _encoding(shared, text, ids), _decoding(shared, ids, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decode(b.drop_columns([text]) for b in encode(batches))
+
+    schema = _extended(docs.drop(text, ids, out), ids, T.BinaryType()).add(out, T.StringType())
+    return docs.mapInArrow(run, schema)

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stateloom.llm._text import inside, mix, ngram_hashes, partitions, row_of_words, signed, slices, small_batches, text_buffers, word_hashes, written
+from stateloom.llm._text import inside, mix, ngram_hashes, partitions, row_of_words, signed, slices, small_batches, text_buffers, trimmed, word_hashes, written
 
 _LAST = 2**63 - 1
 BAND_RATIO, SAMPLE = 1.3, 2000
@@ -253,6 +253,7 @@ def _long(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _name_sets(k: int, num: int, den: int, salt: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, off = text_buffers(_col(batch, "text"))
@@ -271,6 +272,7 @@ def _name_sets(k: int, num: int, den: int, salt: int):
 def _sign(k: int, bands: Bands, salt: int):
     """(signature, priority) rows; the priority is a reversible scramble of the set's name, so the first of a signature is its hub."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -297,6 +299,7 @@ def _sign(k: int, bands: Bands, salt: int):
 def _sign_again(k: int, bands: Bands, level: int):
     """(sig, node) rows: each signature the set is crowded in, combined with the set's signatures of an independent partition."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crowd = _long(batch, "sig").view(np.uint64)
@@ -313,6 +316,7 @@ def _sign_again(k: int, bands: Bands, level: int):
 _UNDO = np.uint64(pow(_ODD, -1, 2**64))
 
 
+@trimmed
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (sig, priority): (sig, hub, member) for every further member of a signature; one hub is kept between batches."""
     sig0 = hub0 = last0 = None
@@ -423,6 +427,7 @@ def _cross(num: int, den: int, most: int | None):
             out |= {values: x[values][first:last], lo: x[lo][i:j] - first, hi: x[hi][i:j] - first}
         return out
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
         for batch in batches:
@@ -452,6 +457,7 @@ def _cross(num: int, den: int, most: int | None):
 def _plausible(num: int, den: int):
     """Pairs whose parities do not rule out a link."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -474,6 +480,7 @@ def _plausible(num: int, den: int):
 def _pack(k: int, salt: int):
     """Compressed texts of the named sets; a row that has another text under the same id and hash is left out."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, off = text_buffers(_col(batch, "text"))
@@ -495,6 +502,7 @@ def _verify(k: int, num: int, den: int):
         body = np.frombuffer(zlib.decompress(z.as_buffer()), np.uint8)
         return shingle_sets(body, np.array([0, len(body)]), k)[1]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -512,6 +520,7 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+@trimmed
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, root of all links of one task: union-find, roots are the least nodes."""
     root: dict[int, int] = {}
@@ -561,6 +570,7 @@ def _planned(docs: DataFrame, k: int, bands: Bands, sample: int) -> Bands:
     texts = docs.filter(F.octet_length("text") <= SAMPLE_TEXT).select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample)
     rows_in_all = docs.count()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, els, n = [], [], 0
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stateloom.llm._text import slices, small_batches, text_buffers, word_hashes
+from stateloom.llm._text import release, slices, small_batches, text_buffers, trimmed, word_hashes
 
 #: Production parameters.
 BUCKETS, FACTORS, MAX_ROWS, EPOCHS, RATE = 1 << 15, 8, 8000, 6, 0.08
@@ -155,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, buckets:
     chosen = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", F.col("y").cast("double").alias("y"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, blocks, ys = Machine(buckets, factors), [], []
 
@@ -194,6 +195,7 @@ def score_quality(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFr
         m = model.value
         body, off = text_buffers(texts)
         parts = [m.score(*features(body[off[i] : off[j]], off[i : j + 1] - off[i], m.buckets)) for i, j in slices(off)]
+        release()
         return pa.array(np.round(np.concatenate(parts), 9) if parts else np.zeros(0))
 
     return docs.select(*names, score(F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= cut).cast("int"))

@@ -61,6 +61,45 @@ def test_tokens_and_run(spark, sf, stages):
     assert p.run(spark, sf).exceptAll(stages[5]).count() == 0
 
 
+def test_one_python_worker_a_task_tokenizes(spark, sf, tmp_path):
+    from test_contracts import odd_docs
+
+    from stateloom.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
+
+    odd_docs(spark, "decoded string, name string, n int").write.parquet(str(tmp_path / "odd"))
+    docs, path = spark.read.parquet(str(tmp_path / "odd")), p.tokenizer_path()
+    plan = p.tokenize_stage(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    want, got = bpe_decode(bpe_encode(docs, path), path).drop("text"), bpe_round_trip(docs, path)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert got.count() == docs.count() and got.select(*want.columns).exceptAll(want).isEmpty()
+
+
+def test_a_task_releases_what_it_freed():
+    import re
+    from pathlib import Path
+
+    import numpy as np
+
+    from stateloom.llm._text import trimmed
+
+    def mb():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    pins = []
+
+    @trimmed
+    def run(batches):
+        for n in batches:
+            parts = [np.ones(12_000) for _ in range(n)]
+            pins.append(np.ones(12_000))  # lies above the others, so free() alone gives nothing back
+            yield mb(), len(parts)
+
+    before = mb()
+    (within, n), = run(iter([2000]))
+    assert n == 2000 and within > before + 150 and mb() < before + 50
+
+
 def test_nulls_pass_every_stage(spark, sf):
     from test_contracts import odd_docs
 
