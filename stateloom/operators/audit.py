@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +19,36 @@ def prefix_rows(keys: DataFrame, key: str, depth: int) -> DataFrame:
     return spread.select(F.substring(F.col(key), F.lit(1), F.col("d")).alias("path"), F.pow(F.lit(2), F.conv(F.substring(F.col(key), F.col("d") + 1, F.lit(1)), 16, 10)).cast("int").alias("bit")).groupBy("path").agg(F.bit_or("bit").alias("mask"))
 
 
+def _shared(a: Column, b: Column, digits: int) -> Column:
+    """How many first digits two different hex keys share: by the highest bit that differs in their first 15 digits, digit by digit only where those are equal."""
+    head = min(digits, 15)
+    number = lambda k: F.conv(F.substring(k, 1, head), 16, 10).cast("bigint")
+    differ = number(a).bitwiseXOR(number(b))
+    slow = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(digits)), lambda i: F.when(F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i), i)))
+    return F.when(differ != 0, F.lit(head) - F.shiftright(F.length(F.bin(differ)) + 3, 2)).when(differ == 0, slow)
+
+
+def _bit(key: str, depth: str) -> Column:
+    """The bit of the digit of hex ``key`` after its first ``depth``."""
+    return F.expr(f"shiftleft(1, cast(conv(substring({key}, {depth} + 1, 1), 16, 10) as int))")
+
+
+def _placed(keys: DataFrame, key: str, digits: int, block: int) -> DataFrame:
+    """``keys`` by blocks of the first digits (_b), with _a, the digits that ``key`` shares with the one before it in the block, and _m, the most it shares with another key there; null where there is none."""
+    rows = keys.withColumn("_b", F.substring(key, 1, block)).repartition("_b")
+    w, same = Window.partitionBy("_b").orderBy(key), Window.partitionBy("_b", key)
+    rows = rows.withColumn("_p", F.lag(key).over(w)).withColumn("_a", F.when(F.col("_p") != F.col(key), _shared(F.col("_p"), F.col(key), digits))).drop("_p")
+    return rows.withColumn("_m", F.greatest("_a", F.lead("_a").over(w))).withColumn("_m", F.max("_m").over(same))
+
+
+def _blocks(keys: DataFrame, key: str, block: int) -> DataFrame:
+    """_b, _first, _last key of each block, and _near, the most digits it shares with another block: at most 16^``block`` rows."""
+    w = Window.orderBy("_b")
+    rows = keys.groupBy(F.substring(key, 1, block).alias("_b")).agg(F.min(key).alias("_first"), F.max(key).alias("_last")).filter("_b is not null")
+    near = [_shared(F.col("_b"), f("_b").over(w), block) for f in (F.lag, F.lead)]
+    return rows.withColumn("_near", F.greatest(*near, F.lit(0)))
+
+
 def whole_trie(keys: DataFrame, key: str, digits: int = 64, block: int = 4) -> DataFrame:
     """path, mask, leaf of a whole trie over distinct hex ``key``: the root and every prefix of two keys or more with the bits of its children, and each key's leaf (mask 0) one below its deepest inner row.
 
@@ -41,6 +71,27 @@ def whole_trie(keys: DataFrame, key: str, digits: int = 64, block: int = 4) -> D
     return inner.unionByName(leaves)
 
 
+def own_ancestors(keys: DataFrame, key: str, digits: int = 64, block: int = 4) -> DataFrame:
+    """Each row of ``keys`` (without ``key``) with path, mask of every inner row that its hex ``key`` passes in the whole trie over all of them.
+
+    A key has as many as the digits it shares with a neighbour, so nothing longer is looked
+    up; masks are gathered inside blocks as in ``whole_trie``, those of shorter paths come
+    with the block.
+    """
+    block = min(block, digits)
+    others = [c for c in keys.columns if c != key]
+    spread = _placed(keys, key, digits, block).select("*", F.explode(F.sequence(F.lit(block), F.coalesce("_m", F.lit(block)))).alias("_d"))
+    rows = spread.select(*others, "_b", F.col("_m").isNull().alias("_alone"), "_d", F.substring(F.col(key), F.lit(1), F.col("_d")).alias("_path"), _bit(key, "_d").alias("_bit"))
+    rows = rows.withColumn("_mask", F.bit_or("_bit").over(Window.partitionBy("_b", "_path"))).drop("_bit")
+    blocks = _blocks(keys, key, block)
+    for d in range(block):
+        blocks = blocks.withColumn(f"_{d}", F.bit_or(_bit("_b", str(d))).over(Window.partitionBy(F.substring("_b", 1, d))))
+    tops = blocks.select("_b", "_near", F.array(*[F.struct(F.substring("_b", 1, d).alias("path"), F.col(f"_{d}").alias("mask")) for d in range(block)]).alias("_top"))
+    own = F.array(F.struct(F.col("_path").alias("path"), F.col("_mask").alias("mask")))
+    found = F.when(F.col("_d") > block, own).when(F.col("_alone"), F.slice("_top", 1, F.col("_near") + 1)).otherwise(F.concat("_top", own))
+    return rows.join(F.broadcast(tops), "_b").select(*others, F.explode(found).alias("_f")).select(*others, "_f.path", "_f.mask")
+
+
 def dangling_and_orphans(rows: DataFrame, depth: int) -> DataFrame:
     """kind, path: child bits above ``depth`` without a row, and rows that no parent's bit names."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get(F.transform(F.array(F.col("mask")), lambda m: m.bitwiseAND(F.pow(F.lit(2), i).cast("int"))), F.lit(0)) != 0)

@@ -567,10 +567,8 @@ def trie_audit_whole(t):
 
 @query("prefix_probe_whole", f"select o_orderkey, path, mask from ({_WHOLE}) r join (select o_orderkey, unnest(list_transform(range(0, 65), lambda d: substr(sha256(o_orderkey::varchar), 1, d))) as p from orders) on p = path")
 def prefix_probe_whole(t):
-    """The ancestors of every key, by its 65 prefixes."""
-    keys = t.orders.select("o_orderkey", _hash("o_orderkey").alias("k"))
-    wanted = keys.select("o_orderkey", F.explode(F.transform(F.sequence(F.lit(0), F.lit(64)), lambda d: F.substring(F.col("k"), F.lit(1), d))).alias("path"))
-    return wanted.join(_whole(t), "path")
+    """The ancestors of every key, as deep as it has any."""
+    return audit.own_ancestors(t.orders.select("o_orderkey", _hash("o_orderkey").alias("k")), "k")
 
 
 @query("reachability_whole", f"with recursive r as (select * from ({_WHOLE} union all {_LEAVES})), e as (select substr(path, 1, length(path) - 1) as parent, path as child from r where path <> '' and substr(sha256(path), 1, 1) <> 'b'), w(node, level) as (select '', 0 union all select child, level + 1 from w join e on parent = node) select node, level::int as level from w")
