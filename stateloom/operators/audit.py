@@ -52,23 +52,22 @@ def _blocks(keys: DataFrame, key: str, block: int) -> DataFrame:
 def whole_trie(keys: DataFrame, key: str, digits: int = 64, block: int = 4) -> DataFrame:
     """path, mask, leaf of a whole trie over distinct hex ``key``: the root and every prefix of two keys or more with the bits of its children, and each key's leaf (mask 0) one below its deepest inner row.
 
-    Neighbours are looked up inside blocks of ``block`` digits.  A prefix that leaves no
-    neighbour in the block is shorter than that, so each key gives all of those.
+    Keys are dealt by their first ``block`` digits and put in order there, once; each gives
+    the rows below the prefix it shares with the key before.  What is shorter than a block
+    comes from the blocks' first and last keys.
     """
-    keys = keys.select(F.col(key).alias("_k")).distinct()
-    w = Window.partitionBy(F.substring("_k", 1, block)).orderBy("_k")
-    same = lambda a, b: F.coalesce(F.array_max(F.transform(F.sequence(F.lit(0), F.lit(digits)), lambda i: F.when(F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i), i))), F.lit(0))
-    near = keys.withColumn("_p", F.lag("_k").over(w)).withColumn("_q", F.lead("_k").over(w))
-    deep = near.select("_k", F.greatest(same(F.col("_k"), F.col("_p")), same(F.col("_k"), F.col("_q")), F.lit(block - 1)).alias("_deep"))
-    spread = deep.select("_k", F.explode(F.sequence(F.lit(0), F.least("_deep", F.lit(digits - 1)))).alias("d"))
-    bit = F.pow(F.lit(2), F.conv(F.substring(F.col("_k"), F.col("d") + 1, F.lit(1)), 16, 10)).cast("int")
-    rows = spread.groupBy(F.substring(F.col("_k"), F.lit(1), F.col("d")).alias("path")).agg(F.bit_or(bit).alias("mask"), F.count("*").alias("n"), F.min("_k").alias("_k"))
-    inner = rows.filter("n > 1 or path = ''").select("path", "mask", F.lit(False).alias("leaf"))
-    # A path of one key is a leaf if the path above has more keys: the shortest of the key, or one below its neighbours.
-    above = deep.select("_k", F.least(F.col("_deep") + 1, F.lit(digits)).alias("d")).select("_k", F.substring(F.col("_k"), F.lit(1), F.col("d")).alias("path"))
-    alone = rows.filter("n = 1 and path <> ''").select("_k", "path").unionByName(above)
-    leaves = alone.groupBy("_k").agg(F.min("path").alias("path")).select("path", F.lit(0).alias("mask"), F.lit(True).alias("leaf"))
-    return inner.unionByName(leaves)
+    block = min(block, digits)
+    keys = keys.select(F.col(key).alias("_k"))
+    d = F.explode(F.sequence(F.greatest("_a", F.lit(block)), F.col("_m") + 1)).alias("d")
+    spread = _placed(keys, "_k", digits, block).filter("_m is not null").select("_b", "_k", "_m", d)
+    bit = F.when(F.col("d") <= F.col("_m"), _bit("_k", "d")).otherwise(0)
+    deep = spread.groupBy("_b", F.substring(F.col("_k"), F.lit(1), F.col("d")).alias("path")).agg(F.bit_or(bit).alias("mask")).select("path", "mask", (F.col("mask") == 0).alias("leaf"))
+    blocks = _blocks(keys, "_k", block)
+    short = blocks.select("_b", "_first", "_last", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("d"))
+    inner = short.groupBy(F.substring(F.col("_b"), F.lit(1), F.col("d")).alias("path")).agg(F.bit_or(_bit("_b", "d")).alias("mask"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    top = inner.filter("_first < _last or path = ''").select("path", "mask", F.lit(False).alias("leaf"))
+    alone = blocks.filter("_first = _last").select(F.substring(F.col("_b"), F.lit(1), F.col("_near") + 1).alias("path"), F.lit(0).alias("mask"), F.lit(True).alias("leaf"))
+    return deep.unionByName(top).unionByName(alone)
 
 
 def own_ancestors(keys: DataFrame, key: str, digits: int = 64, block: int = 4) -> DataFrame:
@@ -93,12 +92,14 @@ def own_ancestors(keys: DataFrame, key: str, digits: int = 64, block: int = 4) -
 
 
 def dangling_and_orphans(rows: DataFrame, depth: int) -> DataFrame:
-    """kind, path: child bits above ``depth`` without a row, and rows that no parent's bit names."""
-    bits = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get(F.transform(F.array(F.col("mask")), lambda m: m.bitwiseAND(F.pow(F.lit(2), i).cast("int"))), F.lit(0)) != 0)
-    named = rows.select(F.explode(bits).alias("i"), "path").select(F.concat("path", F.lower(F.hex("i"))).alias("path")).filter(F.length("path") < depth)
-    dangling = named.join(rows, "path", "left_anti").select(F.lit("dangling").alias("kind"), "path")
-    orphans = rows.filter("path <> ''").join(named, "path", "left_anti").select(F.lit("orphan").alias("kind"), "path")
-    return dangling.unionByName(orphans)
+    """kind, path: child bits above ``depth`` without a row, and rows that no parent's bit names; rows and named children meet in one grouping by path."""
+    entry = lambda path, named: F.struct(path.alias("path"), F.lit(named).alias("named"))
+    child = lambda i: F.when((F.col("mask").bitwiseAND(1 << i) != 0) & (F.length("path") + 1 < depth), entry(F.concat("path", F.lit(f"{i:x}")), 1))
+    own = entry(F.col("path"), 0)
+    both = rows.select(F.explode(F.when(F.col("mask") == 0, F.array(own)).otherwise(F.array(own, *[child(i) for i in range(16)]))).alias("e")).filter("e is not null").select("e.*")
+    counts = both.groupBy("path").agg(F.sum("named").alias("named"), F.sum(1 - F.col("named")).alias("rows"))
+    wrong = counts.filter("rows = 0 or (named = 0 and path <> '')").select(F.when(F.col("rows") == 0, "dangling").otherwise("orphan").alias("kind"), "path", F.greatest("rows", "named").alias("n"))
+    return wrong.select(F.explode(F.array_repeat("kind", F.col("n").cast("int"))).alias("kind"), "path")
 
 
 def ancestors(rows: DataFrame, target: DataFrame, key: str, depth: int) -> DataFrame:

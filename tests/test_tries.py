@@ -60,3 +60,25 @@ def test_prefix_probe_whole_joins_blocks_alone(spark, folder):
     rows = QUERIES["prefix_probe_whole"](spark, folder)
     assert re.findall(r"Join \[(\w+)#", plan(rows)) == ["_b"]
     assert rows.filter("path = ''").count() == 700 and rows.filter("mask = 0").isEmpty()
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_whole_trie(spark, name):
+    digits, keys = KEYS[name]
+    inner, leaves = plain_trie(keys)
+    rows = audit.whole_trie(table(spark, keys), "k", digits).collect()
+    assert sorted((r.path, r.mask) for r in rows if not r.leaf) == sorted(inner.items())
+    assert sorted((r.path, r.mask) for r in rows if r.leaf) == sorted((p, 0) for p in leaves)
+
+
+def test_dangling_and_orphans_keeps_repeats(spark):
+    """A named path without a row, a row that none names, both twice; what is as deep as ``depth`` is not asked for."""
+    rows = [("", 1 << 15 | 1), ("", 1), ("f", 1 << 2), ("f2", 1), ("b", 1 << 3), ("b", 0)]
+    got = audit.dangling_and_orphans(spark.createDataFrame(rows, "path string, mask int"), 3).collect()
+    assert sorted(map(tuple, got)) == [("dangling", "0"), ("dangling", "0"), ("dangling", "b3"), ("orphan", "b"), ("orphan", "b")]
+
+
+def test_trie_audit_whole_makes_the_trie_once(spark, folder):
+    """Keys were put in order eight times, and rows joined to named children twice."""
+    text = plan(QUERIES["trie_audit_whole"](spark, folder))
+    assert "Join" not in text and len(re.findall(r"Exchange hashpartitioning\(_b#\d+, \d+\), REPARTITION", text)) == 1
