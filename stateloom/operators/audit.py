@@ -147,3 +147,33 @@ def reachable(edges: DataFrame, roots: DataFrame, levels: int = 65) -> DataFrame
         if not frontier.isEmpty():
             raise RuntimeError(f"nodes are still reached after {levels} levels")
     return seen
+
+
+def reached_paths(rows: DataFrame, block: int = 4) -> DataFrame:
+    """node, level of the root '' and all ``path`` of ``rows`` (hex) that are reached from it through rows one digit longer each.
+
+    Paths are dealt by their first ``block`` digits and put in order there, so that each
+    follows its parent; shorter ones go to all blocks below them, and only the first gives them out.
+    """
+    short = F.lit(block) - F.length("path")
+    below = F.transform(F.sequence(F.lit(0), F.pow(F.lit(16), short).cast("int") - 1), lambda i: F.concat("path", F.lpad(F.lower(F.hex(i)), short, F.lit("0"))))
+    dealt = rows.filter("path <> ''").select(F.explode(F.when(short > 0, below).otherwise(F.array(F.substring("path", 1, block)))).alias("_b"), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, way = None, [""]  # way: the reached paths down to the last one
+        for batch in batches:
+            out = []
+            for at, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if at != here:
+                    here, way = at, [""]
+                while not path.startswith(way[-1]):
+                    way.pop()
+                if len(path) == len(way[-1]) + 1:
+                    way.append(path)
+                    if len(path) >= block or path.ljust(block, "0") == at:
+                        out.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["node"])
+
+    found = dealt.repartition("_b").sortWithinPartitions("_b", "path").mapInArrow(run, "node string")
+    root = rows.sparkSession.range(1).select(F.lit("").alias("node"))
+    return root.unionByName(found).select("node", F.length("node").alias("level"))

@@ -574,11 +574,7 @@ def prefix_probe_whole(t):
 @query("reachability_whole", f"with recursive r as (select * from ({_WHOLE} union all {_LEAVES})), e as (select substr(path, 1, length(path) - 1) as parent, path as child from r where path <> '' and substr(sha256(path), 1, 1) <> 'b'), w(node, level) as (select '', 0 union all select child, level + 1 from w join e on parent = node) select node, level::int as level from w")
 def reachability_whole(t):
     """What is reached from the root down to the leaves along the edges that are left."""
-    from stateloom.operators.session import ensure_checkpoints
-
-    ensure_checkpoints(t.spark)
-    edges = _whole(t, leaves=True).filter("path <> '' and substr(sha2(path, 256), 1, 1) <> 'b'").select(F.expr("substr(path, 1, length(path) - 1)").alias("parent"), F.col("path").alias("child")).checkpoint()
-    return audit.reachable(edges, t.spark.createDataFrame([("",)], "node string"))
+    return audit.reached_paths(_whole(t, leaves=True).filter("path <> '' and substr(sha2(path, 256), 1, 1) <> 'b'"))
 
 
 @query("route_by_depth_whole", f"select path, case when length(path) <= 1 then 'top' when length(path) <= 2 then 'mid' else 'fallback' end as family from ({_WHOLE})")

@@ -82,3 +82,34 @@ def test_trie_audit_whole_makes_the_trie_once(spark, folder):
     """Keys were put in order eight times, and rows joined to named children twice."""
     text = plan(QUERIES["trie_audit_whole"](spark, folder))
     assert "Join" not in text and len(re.findall(r"Exchange hashpartitioning\(_b#\d+, \d+\), REPARTITION", text)) == 1
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_reached_paths(spark, name):
+    """As the walk level by level finds them, after some rows were lost."""
+    inner, leaves = plain_trie(KEYS[name][1])
+    paths = sorted(p for p in [*inner, *leaves] if p and hash_digit(p) not in "b3")
+    want, level = [("", 0)], {""}
+    while level:
+        level = {p for p in paths if p[:-1] in level}
+        want += [(p, len(p)) for p in level]
+    rows = spark.createDataFrame([(p,) for p in paths + paths[:2]], "path string").repartition(3)
+    assert sorted(map(tuple, audit.reached_paths(rows).collect())) == sorted(want)
+    edges = rows.selectExpr("substr(path, 1, length(path) - 1) as parent", "path as child")
+    if len(max(paths, default="")) < 20:
+        from stateloom.operators.session import ensure_checkpoints
+
+        ensure_checkpoints(spark)
+        assert sorted(map(tuple, audit.reachable(edges.checkpoint(), spark.createDataFrame([("",)], "node string")).collect())) == sorted(want)
+
+
+def hash_digit(path):
+    import hashlib
+
+    return hashlib.sha256(path.encode()).hexdigest()[0]
+
+
+def test_reachability_whole_reads_the_edges_once(spark, folder):
+    """All edges were joined anew on every level."""
+    text = plan(QUERIES["reachability_whole"](spark, folder))
+    assert "Join" not in text and "ExistingRDD" not in text and len(re.findall(r"Exchange hashpartitioning\(_b#\d+, \d+\), REPARTITION", text)) == 2
