@@ -451,6 +451,12 @@ def anti_join_redraw(t):
     return first.unionByName(redraw(orders.join(first, "o_orderkey", "left_anti"), "o_orderkey", taken.select(F.substring("h", 1, 40).alias("address")), 40, 8))
 
 
+@query("anti_join_redraw_whole", "with recursive g as (select distinct sha256(c_custkey::varchar) as h from customer), d as (select o_orderkey, k, substr(sha256(o_orderkey::varchar || '-' || k::varchar), 1, 3) as a from orders, range(0, 8) t(k)), f as (select o_orderkey, min(k) as attempt, arg_min(a, k) as address from d where a not in (select substr(h, 1, 3) from g) group by 1), w(o_orderkey, attempt, address) as (select distinct o_orderkey, 8::bigint, substr(sha256(o_orderkey::varchar || '-8'), 1, 40) from orders where o_orderkey not in (select o_orderkey from f) union all select o_orderkey, attempt + 1, substr(sha256(o_orderkey::varchar || '-' || (attempt + 1)::varchar), 1, 40) from w where address in (select substr(h, 1, 40) from g)) select o_orderkey, attempt, address from f union all select o_orderkey, attempt, address from w where address not in (select substr(h, 1, 40) from g)")
+def anti_join_redraw_whole(t):
+    """The rows of anti_join_redraw; this SQL too goes on after eight draws."""
+    return anti_join_redraw(t)
+
+
 @query("splice_roots", "select o_orderkey, coalesce(root, 'empty') as root from orders left join (select l_orderkey, sha256(string_agg(l_linenumber::varchar, ',' order by l_linenumber)) as root from lineitem where l_quantity > 45 group by 1) on l_orderkey = o_orderkey")
 def splice_roots(t):
     """Roots spliced into accounts, with a default."""
