@@ -530,7 +530,7 @@ def reachability(t):
     from stateloom.operators.session import ensure_checkpoints
 
     ensure_checkpoints(t.spark)
-    edges = _trie(t).filter("path <> '' and substr(sha2(path, 256), 1, 1) <> 'b'").select(F.expr("substr(path, 1, length(path) - 1)").alias("parent"), F.col("path").alias("child"))
+    edges = _trie(t).filter("path <> '' and substr(sha2(path, 256), 1, 1) <> 'b'").select(F.expr("substr(path, 1, length(path) - 1)").alias("parent"), F.col("path").alias("child")).checkpoint()
     return audit.reachable(edges, t.spark.createDataFrame([("",)], "node string"))
 
 
